@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from codexa.llm import bpe_codec, exact_dedup, packing
+from codexa.llm import bpe_codec, exact_dedup, fingerprints, packing, quality, url_filter
 
 
 def queries():
     return {
+        "op1_fingerprints": fingerprints.query,
         "op2_bpe_codec": bpe_codec.query,
+        "op4_url_filter": url_filter.query,
         "op5_exact_dedup": exact_dedup.query,
         "op8_best_fit_packing": packing.query,
+        "op10_quality": quality.query,
     }
 
 
 def oracles():
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_url_filter": url_filter.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
