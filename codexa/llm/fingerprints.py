@@ -53,11 +53,11 @@ def labelled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE) -> np.ndarray:
-    """One 32-bit signature entry for each sketch, from the k-mer hashes in text order."""
+    """One 64-bit signature entry for each sketch, from the k-mer hashes in text order."""
     if not len(hashes):
-        return np.zeros(sketches, np.uint32)
+        return np.zeros(sketches, U)
     label, position = labelled(hashes)
-    n, out = len(label), np.empty(sketches, np.uint32)
+    n, out = len(label), np.empty(sketches, U)
     limit = U(min(2**64 - 1, int(9.0 * size / n * 2**64)))
     step = max(1, BLOCK // n)
     for at in range(0, sketches, step):
@@ -82,14 +82,15 @@ def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, size: int = TUPL
         for r in range(size):
             own = rank == r
             entry[row[own]] = mix(entry[row[own]] * U(31) + label[col[own]] + U(r + 1))
-        out[at:to] = (entry >> U(32)).astype(np.uint32)
+        out[at:to] = entry
     return out
 
 
 def fingerprint(text: str, k: int = K) -> np.ndarray:
-    """The signature of a text."""
+    """The signature of a text, 32 bits for each sketch."""
     units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return order_minhash(window_hashes(units, min(k, len(units))) if len(units) else np.zeros(0, U))
+    entries = order_minhash(window_hashes(units, min(k, len(units))) if len(units) else np.zeros(0, U))
+    return (entries >> U(32)).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
