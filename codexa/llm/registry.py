@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexa.llm import bpe_codec, exact_dedup, fingerprints, near_dedup, packing, quality, url_filter
+from codexa.llm import bpe_codec, exact_dedup, fingerprints, lm_scores, near_dedup, packing, quality, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_bpe_codec": bpe_codec.query,
         "op4_url_filter": url_filter.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_lm_scores": lm_scores.query,
         "op8_best_fit_packing": packing.query,
         "op9_near_dedup": near_dedup.query,
         "op10_quality": quality.query,
