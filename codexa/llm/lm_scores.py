@@ -10,9 +10,9 @@ only, so windows are the unit of counting, training and scoring.
 1. One scan of the training texts counts windows and words, first within a task, then by key over the
    whole corpus: what moves grows with the number of distinct windows and words.
 2. Windows are added up into ``2**SLOT_BITS`` hashed slots: the one model table, of fixed size.
-3. Each task of the window table learns mixing weights online, window by window, weighted by count;
+3. Each task of the window table learns mixing weights online, in small steps, weighted by count;
    an example's own occurrence is taken out of the counts first. Tasks' weights are averaged by how
-   much each has seen; their probability maps are added up.
+   much each has seen, twice; then the tasks' probability maps are added up.
 4. One scan scores every text. The base looks up the ``HOT_WORDS`` most frequent words in a broadcast
    table of that size at most; all other words go through an exact join with their corpus counts.
 
@@ -49,7 +49,11 @@ REMEMBERED = 1 << 21
 END_BYTE = 0xFF
 END_WORD = 1
 PRIOR = 0.08
-RATE = 0.02
+#: Step of the online weights, windows in a step, and passes with averaging between them.
+RATES = (0.02, 0.008)
+STEP_WINDOWS = 256
+#: Weights of orders 0, 1, ... and of the constant input before learning.
+FIRST_WEIGHTS = (0.0, 0.0, 0.1, 0.2, 0.35, 0.45, 0.0)
 MAP_STEPS = 32
 MAP_LIMIT = 8.0
 MAP_PRIOR = 30.0
@@ -164,7 +168,7 @@ class Mixer:
 
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
-        self.weights = np.full((8, ORDER + 2, INPUTS), 0.3)
+        self.weights = np.tile(np.array(FIRST_WEIGHTS), (8, ORDER + 2, 1))
         self.map_sum = np.zeros((256, MAP_STEPS + 1))
         self.map_n = np.zeros((256, MAP_STEPS + 1))
 
@@ -180,17 +184,24 @@ class Mixer:
         x[-1] = 0.3
         return x, (total > 0).sum(axis=0)
 
-    def learn(self, window: np.ndarray, n: np.ndarray) -> None:
+    def learn(self, window: np.ndarray, n: np.ndarray, rate: float) -> None:
         """One online step for each bit: the gradient of the coding cost, weighted by count."""
         share = n / n.sum()
         for bit in range(8):
             value = ((window >> U(7 - bit)) & U(1)).astype(np.float64)
             x, gate = self.inputs(window, bit, value)
             mixed = np.clip((self.weights[bit, gate] * x.T).sum(axis=1), -MAP_LIMIT, MAP_LIMIT)
-            step = RATE * len(n) * share * (value - squash(mixed))
+            step = rate * len(n) * share * (value - squash(mixed))
             seen = np.maximum(1e-9, np.bincount(gate, share * len(n), ORDER + 2)) ** 0.5
             for k in range(INPUTS):
                 self.weights[bit, :, k] += np.bincount(gate, step * x[k], ORDER + 2) / seen
+
+    def observe(self, window: np.ndarray, n: np.ndarray) -> None:
+        """Add to the map what followed each mixed prediction."""
+        for bit in range(8):
+            value = ((window >> U(7 - bit)) & U(1)).astype(np.float64)
+            x, gate = self.inputs(window, bit, value)
+            mixed = np.clip((self.weights[bit, gate] * x.T).sum(axis=1), -MAP_LIMIT, MAP_LIMIT)
             node = ((window & U(0xFF)) >> U(8 - bit) | U(1 << bit)).astype(np.int64)
             cell = node * (MAP_STEPS + 1) + np.round((mixed + MAP_LIMIT) * MAP_STEPS / (2 * MAP_LIMIT)).astype(np.int64)
             self.map_sum += np.bincount(cell, n * value, self.map_sum.size).reshape(self.map_sum.shape)
@@ -223,28 +234,34 @@ def train(spark: SparkSession, counted: DataFrame) -> tuple[Mixer, Broadcast]:
     counted = counted.select("key", "n")
     table = spark.sparkContext.broadcast(slot_counts(counted))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Mixer(table.value), 0
-        for batch in batches:
-            window, n = batch["key"].to_numpy().astype(U), batch["n"].to_numpy().astype(np.float64)
-            order = np.argsort(mix(window + U(5)))
-            for at in range(0, len(order), 1024):
-                part = order[at : at + 1024]
-                own.learn(window[part], n[part])
-            seen += int(n.sum())
-        if seen:
-            blob = lambda a: pa.array([a.astype("<f8").tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), blob(own.weights), blob(own.map_sum), blob(own.map_n)], ["seen", "weights", "map_sum", "map_n"])
-
-    rows = counted.mapInArrow(run, "seen double, weights binary, map_sum binary, map_n binary").collect()
+    def passed(weights: np.ndarray, rate: float) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, seen = Mixer(table.value), 0.0
+            own.weights = weights.copy()
+            for batch in batches:
+                window, n = batch["key"].to_numpy().astype(U), batch["n"].to_numpy().astype(np.float64)
+                order = np.argsort(mix(window + U(5)))
+                for at in range(0, len(order), STEP_WINDOWS):
+                    part = order[at : at + STEP_WINDOWS]
+                    if rate:
+                        own.learn(window[part], n[part], rate)
+                    else:
+                        own.observe(window[part], n[part])
+                seen += n.sum()
+            if seen:
+                parts = {"weights": own.weights} if rate else {"map_sum": own.map_sum, "map_n": own.map_n}
+                yield pa.RecordBatch.from_arrays([pa.array([seen] * len(parts)), pa.array([*parts]), pa.array([v.astype("<f8").tobytes() for v in parts.values()])], ["seen", "part", "data"])
+
+        return sorted(counted.mapInArrow(run, "seen double, part string, data binary").collect())
+
     model = Mixer(table.value)
-    total = sum(r["seen"] for r in rows)
-    if rows:
-        read = lambda r, k, like: np.frombuffer(r[k], "<f8").reshape(like.shape)
-        rows.sort(key=lambda r: (r["seen"], r["weights"]))
-        model.weights = sum(read(r, "weights", model.weights) * (r["seen"] / total) for r in rows)
-        model.map_sum = sum(read(r, "map_sum", model.map_sum) for r in rows)
-        model.map_n = sum(read(r, "map_n", model.map_n) for r in rows)
+    read = lambda r: np.frombuffer(r["data"], "<f8").reshape(getattr(model, r["part"]).shape)
+    for rate in RATES:
+        if rows := passed(model.weights, rate):
+            total = sum(r["seen"] for r in rows)
+            model.weights = sum(read(r) * (r["seen"] / total) for r in rows)
+    for r in passed(model.weights, 0.0):
+        setattr(model, r["part"], getattr(model, r["part"]) + read(r))
     model.settle()
     model.table = None  # it goes by its own broadcast
     return model, table
