@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codexa.llm import bpe_codec, exact_dedup, fingerprints, lm_scores, near_dedup, packing, quality, url_filter
+from codexa.llm import bpe_codec, exact_dedup, fingerprints, line_dedup, lm_scores, near_dedup, packing, quality, url_filter
 
 
 def queries():
     return {
         "op1_fingerprints": fingerprints.query,
         "op2_bpe_codec": bpe_codec.query,
+        "op3_line_dedup": line_dedup.query,
         "op4_url_filter": url_filter.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_lm_scores": lm_scores.query,
