@@ -252,7 +252,8 @@ def train(spark: SparkSession, counted: DataFrame) -> tuple[Mixer, Broadcast]:
                 parts = {"weights": own.weights} if rate else {"map_sum": own.map_sum, "map_n": own.map_n}
                 yield pa.RecordBatch.from_arrays([pa.array([seen] * len(parts)), pa.array([*parts]), pa.array([v.astype("<f8").tobytes() for v in parts.values()])], ["seen", "part", "data"])
 
-        return sorted(counted.mapInArrow(run, "seen double, part string, data binary").collect())
+        # in random order: tables come with frequent windows first
+        return sorted(counted.sortWithinPartitions(F.xxhash64("key")).mapInArrow(run, "seen double, part string, data binary").collect())
 
     model = Mixer(table.value)
     read = lambda r: np.frombuffer(r["data"], "<f8").reshape(getattr(model, r["part"]).shape)
