@@ -131,7 +131,7 @@ def classify_pages(spark, sf_dir):
         CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'enrich_text' ELSE 'skip' END AS action,
         CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'extraction corruption detected (mojibake_count=' || mojibake_count || ', mojibake_rate=' || format('{{:.2f}}', 100 * mojibake_count / greatest(char_count, 1)) || '%)'
              ELSE 'local processing sufficient for requested task' || CASE WHEN word_count > 50 THEN '; clean native extraction available (' || word_count || ' words)' ELSE '' END END AS reasons,
-        CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 0.8 ELSE 0.85 END AS confidence FROM {MEASURES_SQL}"""
+        CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS confidence FROM {MEASURES_SQL}"""
 )
 def route_documents(spark, sf_dir):
     m = pages.page_measures(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"])
@@ -465,7 +465,7 @@ def sentence_split(spark, sf_dir):
     return docs.select("doc_id", markup.sentences(F.col("text"), "en").alias("s")).select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\n"), 256).alias("sha256"))
 
 
-@query("SELECT m AS memory, rt AS runtime, CASE WHEN NOT rt OR m < 8 THEN 'basic' WHEN m < 24 THEN 'balanced' ELSE 'thorough' END AS profile FROM (VALUES (4.0, true), (16.0, true), (64.0, true), (64.0, false)) t(m, rt)")
+@query("SELECT CAST(m AS DOUBLE) AS memory, rt AS runtime, CASE WHEN NOT rt OR m < 8 THEN 'basic' WHEN m < 24 THEN 'balanced' ELSE 'thorough' END AS profile FROM (VALUES (4.0, true), (16.0, true), (64.0, true), (64.0, false)) t(m, rt)")
 def capability_profile(spark, sf_dir):
     t = spark.createDataFrame([(4.0, True), (16.0, True), (64.0, True), (64.0, False)], "memory double, runtime boolean")
     return t.select("memory", "runtime", align.profile(F.col("memory"), F.col("runtime")).alias("profile"))
