@@ -392,10 +392,17 @@ def entry_heading(c: Column) -> Column:
 
 
 def grams(tokens: Column, width: int = 4) -> Column:
-    """Distinct n-grams of min(width, n) tokens, joined by a space."""
-    size = F.least(F.lit(width), F.size(tokens))
-    starts = F.sequence(F.lit(1), F.size(tokens) - size + 1)
-    return F.when(size > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams of min(width, n) tokens, joined by a space.
+
+    The tokens are bound to a lambda variable, else they would be computed anew for every n-gram.
+    """
+
+    def of(t: Column) -> Column:
+        size = F.least(F.lit(width), F.size(t))
+        starts = F.sequence(F.lit(1), F.size(t) - size + 1)
+        return F.when(size > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), of)[0]
 
 
 def region_tokens(c: Column) -> Column:
