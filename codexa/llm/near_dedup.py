@@ -22,6 +22,7 @@ and the text are read (``deduplicated`` passes all other columns through).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +112,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     if n < least * m or not n:
         return 0.0
     both = n + m
-    needed = -(-both * least // (1 + least))
+    needed = math.ceil(both * least / (1 + least) - 1e-9)
     # no alignment matches more than the two multisets share
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
     ordered = np.sort(a)
