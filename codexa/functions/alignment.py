@@ -286,3 +286,18 @@ def balanced_counts(n: int, first: int, full: int, least: int = 2) -> list[int]:
         out.append(max(0, take))
         left, room = left - out[-1], full
     return out + [left]
+
+
+#: Letters that don't join to the next one (fixed values).
+UNJOINED = set("اأإآٱدذرزوؤةىء")
+
+
+def elongations(word: str) -> list[int]:
+    """Places in an Arabic word after which a tatweel may be inserted: between two letters that join."""
+    letters = [(k, c) for k, c in enumerate(word) if not unicodedata.combining(c)]
+    joins = lambda c: unicodedata.category(c) == "Lo" and "\u0621" <= c <= "\u06ff"
+    out = []
+    for (_, c), (after, d) in zip(letters, letters[1:], strict=False):
+        if joins(c) and joins(d) and c not in UNJOINED and d != "ء" and not (c == "ل" and d in "اأإآٱ"):
+            out.append(after)
+    return out

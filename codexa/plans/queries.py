@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from codexa.functions import alignment as A
 from codexa.functions import text as X
-from codexa.operators import align, layout, pages, sources
+from codexa.operators import align, layout, pages, sources, words
+from codexa.plans import extract, translate
 from codexa.plans import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -471,5 +472,47 @@ def capability_profile(spark, sf_dir):
     return t.select("memory", "runtime", align.profile(F.col("memory"), F.col("runtime")).alias("profile"))
 
 
+# -- word rows and compositions ----------------------------------------------------------------------
+@query()
+def transliterations(spark, sf_dir):
+    book = spark.createDataFrame([("al-Qushayri", "القشيري"), ("hikma", "الحكمة")], "word string, arabic string")
+    texts = spark.createDataFrame([(1, "wisdom (hikma) by (al-Qushayri1) and (nobody)"), (2, "none")], "id int, text string")
+    return words.annotated(texts, book)
+
+
+@query()
+def hyphens_joined(spark, sf_dir):
+    rows = [("a", k, t) for k, t in enumerate(["Prophet", "ﷺ", "hy-", "phen", "end"])]
+    return words.joined_words(spark.createDataFrame(rows, "line string, ord int, text string"))
+
+
+@query()
+def batch_reversal(spark, sf_dir):
+    rows = [(p, k, t) for p, t in ((1, "بِسْمِ"), (2, "ِبس")) for k in range(4)]
+    return words.batch_reversed(spark.createDataFrame(rows, "page int, ord int, text string"), ["page"])
+
+
+@query()
+def extraction_markdown(spark, sf_dir):
+    return extract.extract(fx.BOXES.df(spark), fx.SPANS.df(spark), fx.GLYPHS.df(spark))["markdown"]
+
+
+@query()
+def extraction_stats(spark, sf_dir):
+    return joined(extract.extract(fx.BOXES.df(spark), fx.SPANS.df(spark), fx.GLYPHS.df(spark))["stats"])
+
+
+@query(f"SELECT page, string_agg(text, ' ' ORDER BY word_no) AS original_text, count(*) AS word_count FROM {fx.BOXES.sql()} GROUP BY page")
+def page_repair(spark, sf_dir):
+    fixed = pages.fonts_of_words(fx.BOXES.df(spark), fx.SPANS.df(spark))
+    return words.repaired_pages(fixed).select("page", "original_text", "word_count")
+
+
+@query()
+def translation_tables(spark, sf_dir):
+    out = translate.translate(fx.PARAGRAPHS.df(spark))
+    return out["diagnostics"]
+
+
 def line_counts(n: int, first: int, full: int) -> list[int]:
     return A.balanced_counts(n, first, full)

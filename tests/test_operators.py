@@ -174,3 +174,32 @@ def test_bundles(spark, tmp_path):
     assert [tuple(r) for r in files.bundle_faults(spark, path, ["links", "units"]).collect()] == [("units", "row count")]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         files.write_bundle({"links": rows}, "w1", path)
+
+
+def test_extraction(spark):
+    from codexa.plans import extract
+
+    out = extract.extract(fx.BOXES.df(spark), fx.SPANS.df(spark), fx.GLYPHS.df(spark), 7)
+    assert [r["text"] for r in out["words"].filter("page = 1").orderBy("word_no").collect()] == ["aṣ", "īb", "cß", "d¤"]
+    assert out["stats"].first()["total_pages"] == 2
+    assert out["markdown"].first()["doc_id"] == 7
+
+
+def test_translation(spark, tmp_path):
+    from codexa.plans import translate
+
+    texts = spark.createDataFrame([("w", "ar", "قال في سنة ٤٣٧ كلاما\n\nثم قال"), ("w", "en", "In 437 he spoke.\n\nThen he said more here.")], "work string, lang string, text string")
+    paragraphs = translate.paragraphs_of(texts)
+    assert paragraphs.count() == 4
+    out = translate.translate(paragraphs, corrections=spark.createDataFrame([("review:none", "accept", None, None, None)], "review_id string, action string, new_resolution string, new_ar array<string>, new_en array<string>"))
+    assert [tuple(r) for r in out["faults"].collect()] == [("stale", 1)]
+    assert out["links"].filter("array_contains(flags, 'hard_landmark')").count() == 1
+    assert translate.save(out, "w", str(tmp_path / "b")).count() == 4
+    assert files.bundle_faults(spark, str(tmp_path / "b"), ["links", "recommended", "queue", "diagnostics"]).count() == 0
+
+
+def test_elongations():
+    from codexa.functions.alignment import elongations
+
+    assert elongations("كتب") == [1, 2]
+    assert elongations("دار") == [] and elongations("لا") == [] and elongations("abc") == []
