@@ -210,7 +210,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``(key, class_id, class_size, kept)``, one row for each row of ``docs``."""
     classes = keep(near_classes(docs, text, key, least), "members")
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    # written first: then nothing but the join itself needs a large class together, and Spark splits it
+    sizes = keep(classes.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return classes.join(sizes, "class_id").select(real("id").alias(key), real("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
