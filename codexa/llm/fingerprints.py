@@ -33,10 +33,10 @@ K = 8
 TUPLE = 2
 SKETCHES = 64
 #: Elements of the block of hash values that is compared at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 #: Id ranges for each shuffle partition.
 RANGES = 4
-FACTORS, SHIFTS = seeds(SKETCHES, 1), seeds(SKETCHES, 2)
+FACTORS, SHIFTS = seeds(SKETCHES, 1).astype(np.uint32), (seeds(SKETCHES, 2) >> U(32)).astype(np.uint32)
 LOWEST = -(1 << 63)
 
 
@@ -52,45 +52,78 @@ def labelled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(kmer + occurrence.astype(U)), position
 
 
+def few(room: np.ndarray, values: np.ndarray, limit: np.uint32) -> np.ndarray:
+    """Places of the few values up to a limit; eight flags at a time are passed over if none is set."""
+    np.less_equal(values, limit, out=room[: len(values)])
+    room[len(values) :] = False
+    eights = np.flatnonzero(room.view(U))
+    at, bit = np.nonzero(room.reshape(-1, 8)[eights])
+    return eights[at] * 8 + bit
+
+
 def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, size: int = TUPLE) -> np.ndarray:
-    """One 64-bit signature entry for each sketch, from the k-mer hashes in text order."""
-    if not len(hashes):
+    """One 64-bit signature entry for each sketch, from the k-mer hashes in text order.
+
+    A sketch's order of labels is a 32-bit multiply-add of their upper halves. Only values below a
+    limit that some dozen labels are expected to meet are looked at further.
+    """
+    n = len(hashes)
+    if not n:
         return np.zeros(sketches, U)
     label, position = labelled(hashes)
-    n, out = len(label), np.empty(sketches, U)
-    limit = U(min(2**64 - 1, int(9.0 * size / n * 2**64)))
-    step = max(1, BLOCK // n)
+    upper, out = (label >> U(32)).astype(np.uint32), np.empty(sketches, U)
+    take, limit = min(size, n), np.uint32(min(2**32 - 1, int(9.0 * size / n * 2**32)))
+    step = max(1, min(sketches, BLOCK // n))
+    room, below = np.empty((step, n), np.uint32), np.zeros(-(-step * n // 8) * 8, bool)
     for at in range(0, sketches, step):
-        to = min(sketches, at + step)
-        value = label[None, :] * FACTORS[at:to, None] + SHIFTS[at:to, None]
-        row, col = np.nonzero(value <= limit)
-        least = np.bincount(row, minlength=to - at)
-        if (short := np.flatnonzero(least < min(size, n))).size:
+        rows = min(step, sketches - at)
+        value = room[:rows]
+        np.multiply(upper, FACTORS[at : at + rows, None], out=value)
+        np.add(value, SHIFTS[at : at + rows, None], out=value)
+        row, col = np.divmod(few(below, value.ravel(), limit), n)
+        least = np.bincount(row, minlength=rows)
+        if (short := np.flatnonzero(least < take)).size:
             # by chance too few are below the limit: these rows are searched whole
             keep = ~np.isin(row, short)
-            extra_col = np.argsort(value[short], axis=1)[:, :size]
-            row = np.concatenate([row[keep], np.repeat(short, extra_col.shape[1])])
-            col = np.concatenate([col[keep], extra_col.ravel()])
-        order = np.lexsort((value[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[rank < size], col[rank < size]
-        order = np.lexsort((position[col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        entry = np.zeros(to - at, U)
-        for r in range(size):
-            own = rank == r
-            entry[row[own]] = mix(entry[row[own]] * U(31) + label[col[own]] + U(r + 1))
-        out[at:to] = entry
+            more = np.argsort(value[short], axis=1)[:, :take]
+            row, col = np.concatenate([row[keep], np.repeat(short, take)]), np.concatenate([col[keep], more.ravel()])
+            least = np.bincount(row, minlength=rows)
+        order = np.argsort(row.astype(U) << U(32) | value[row, col])
+        chosen = col[order][(np.cumsum(least) - least)[:, None] + np.arange(take)]
+        in_text = np.argsort(position[chosen], axis=1)
+        tuples = np.take_along_axis(label[chosen], in_text, axis=1)
+        entry = np.zeros(rows, U)
+        for r in range(take):
+            entry = mix(entry * U(31) + tuples[:, r] + U(r + 1))
+        out[at : at + rows] = entry
     return out
 
 
+def kmers(units: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of all k-mers; a text shorter than k is one."""
+    return window_hashes(units, min(k, len(units))) if len(units) else np.zeros(0, U)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint from k-mer hashes, 32 bits for each sketch."""
+    return (order_minhash(hashes) >> U(32)).astype(np.uint32)
+
+
+def code_units(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def fingerprint(text: str, k: int = K) -> np.ndarray:
     """The signature of a text, 32 bits for each sketch."""
-    units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    entries = order_minhash(window_hashes(units, min(k, len(units))) if len(units) else np.zeros(0, U))
-    return (entries >> U(32)).astype(np.uint32)
+    return signature(kmers(code_units(text), k))
+
+
+def edited_kmers(own: np.ndarray, own_kmers: np.ndarray, third: int, following: np.ndarray, k: int = K) -> np.ndarray:
+    """K-mers of a text whose last third is replaced by a start; those that lie before the edit are kept."""
+    stay = len(own) - third
+    if stay < k:
+        return kmers(np.concatenate([own[:stay], following[:third]]), k)
+    return np.concatenate([own_kmers[: stay - k + 1], kmers(np.concatenate([own[stay - k + 1 : stay], following[:third]]), k)]) if third and len(following) else own_kmers[: stay - k + 1]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -150,10 +183,12 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
                     last, rng, closed = None, own_rng, False
                 if closed:
                     continue  # further rows of a carried id
-                mark = fingerprint(own)
+                units = code_units(own)
+                hashes = kmers(units)
+                mark = signature(hashes)
                 if last is not None:
-                    out.append(compared(*last, own, mark))
-                last, closed = (own_id, own, mark), carried
+                    out.append(compared(*last, own, units, mark))
+                last, closed = (own_id, own, units, hashes, mark), carried
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], [key, *NAMES])
 
@@ -164,11 +199,11 @@ NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def compared(own_id: int | None, own: str, mark: np.ndarray, following: str, following_mark: np.ndarray) -> tuple:
+def compared(own_id: int | None, own: str, units: np.ndarray, hashes: np.ndarray, mark: np.ndarray, following: str, following_units: np.ndarray, following_mark: np.ndarray) -> tuple:
     """A result row: ``own`` with its last third replaced by the start of ``following``."""
     third = len(own) // 3
     edited = own[: len(own) - third] + following[:third]
-    edited_mark = fingerprint(edited) if edited != own else mark
+    edited_mark = signature(edited_kmers(units, hashes, third, following_units)) if edited != own else mark
     return own_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), as_hex(mark), as_hex(edited_mark), likeness(mark, edited_mark), likeness(mark, following_mark)
 
 
