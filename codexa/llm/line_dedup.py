@@ -154,12 +154,12 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: st
     Rows that lose no line stay as they are; ``length``, if there is such a column, is counted anew.
     """
     _, gone = dropped_lines(docs, text, key)
-    row, numbers = unused(docs, "row"), unused(docs, "numbers")
+    row, numbers, names = unused(docs, "row"), unused(docs, "numbers"), docs.columns
     known = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_hashes(part[key], *texts(part[text])))], known.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_hashes(part[key], *texts(part[text])))], [*names, row])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -170,7 +170,7 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: st
                     own = "\n".join(line for at, line in enumerate(own.split("\n")) if at not in drop)
                 out.append(own)
             stay = np.array([not lost or bool(own.strip()) for own, lost in zip(out, part[numbers].to_pylist(), strict=True)], bool)
-            columns = {c: part[c] for c in docs.columns} | {text: pa.array(out, pa.string())}
+            columns = {c: part[c] for c in names} | {text: pa.array(out, pa.string())}
             if length in columns:
                 fresh = [n if not lost else len(own) for n, own, lost in zip(part[length].to_pylist(), out, part[numbers].to_pylist(), strict=True)]
                 columns[length] = pa.array(fresh, part[length].type)
