@@ -1,15 +1,19 @@
 """Line deduplication by a log-template tree (operator 3).
 
 The tree has fixed depth: token count, then the first ``LEADING`` tokens; tokens with digits, an at sign
-or ``://`` are variable fields. In a leaf, a token that fewer than ``MIN_DOCS`` documents have at its
-position becomes a variable field as well, if ``CONSTANT`` of the line stays constant. What is
-left is the line's template; it recurs if enough different documents have it (``MIN_DOCS``, or 2 for
-lines of ``LONG`` tokens or more). Recurring lines are dropped from all documents but the one of the
-least id. Templates whose documents consist of recurring lines by more than ``COPY_SHARE`` on
-average belong to copies of whole documents; those lines stay, for document-level operators.
+or ``://`` are variable fields, unless that is most of the line. In a leaf, a token that fewer than
+``MIN_DOCS`` of these documents have at its position becomes a variable field as well, if ``CONSTANT`` of the
+line stays constant. What is left is the line's template; it recurs if enough different documents have it (``MIN_DOCS``, or
+``LONG_DOCS`` for lines of ``LONG`` tokens or more). Documents that consist of recurring lines by more
+than ``COPY_SHARE`` are copies of whole documents, which is for document-level operators to judge: a
+template counts only if enough other documents have it. Its lines are dropped from all documents but
+the one of the least id.
 
 Nothing gathers a leaf: equal lines are pre-aggregated, supports and templates are grouped sums, and a
-template's hash is a sum over its constant positions, so a hot leaf spreads over tasks.
+template's hash is a sum over its constant positions, so a hot leaf spreads over tasks. Tokens leave
+the scan only for lines that share a segment with enough documents of their leaf, which any line that
+``CONSTANT`` allows does; bitmaps of ``BITMAP`` bits tell a scan which lines to look at, and exact
+joins remove their false positives.
 
 Defined results: null text is empty text; blank lines stay; a line's number counts from 0; rows that
 agree in id and text are one document and get the same result; null ids are least; an empty table
@@ -28,13 +32,15 @@ from pyspark.sql import types as T
 
 from codexa.llm.quality import unused
 from codexa.llm.store import keep
-from codexa.llm.text import ASCII_SPACE, U, mix, runs, slices, span_hashes, texts
+from codexa.llm.text import ASCII_SPACE, U, gather, mix, runs, slices, span_hashes, texts
 
 LEADING = 2
 MIN_DOCS = 5
 LONG, LONG_DOCS = 20, 2
 CONSTANT, CONSTANT_TOKENS = 0.8, 5
-COPY_SHARE = 0.4
+COPY_SHARE = 0.5
+#: Bits of the maps of leaves and lines that generalisation looks at.
+BITMAP = 1 << 23
 NEWLINE = 10
 FIELD = U(0xF1E1D)
 NO_ID = -(1 << 63)
@@ -49,7 +55,7 @@ def row_hashes(ids: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All lines with tokens: text, number, leaf, full hash, tokens and their bounds."""
+    """All lines with tokens: text, number, leaf, full hash, tokens and where they begin; ``fresh``: a text's first line of that hash."""
     starts, ends, _ = runs(~ASCII_SPACE[flat], offsets)
     token = span_hashes(flat, starts, ends)
     marks = np.concatenate([[0], np.cumsum(MARKS[flat])])
@@ -57,7 +63,7 @@ def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     if len(flat) > 2:
         colon[1:-2] = np.cumsum((flat[:-2] == 58) & (flat[1:-1] == 47) & (flat[2:] == 47))
         colon[-2:] = colon[-3]
-    token = np.where((marks[ends] > marks[starts]) | (colon[np.maximum(ends - 2, starts)] > colon[starts]), FIELD, token)
+    field = (marks[ends] > marks[starts]) | (colon[np.maximum(ends - 2, starts)] > colon[starts])
     breaks = np.cumsum(flat == NEWLINE)
     breaks = np.concatenate([[0], breaks])
     text = np.searchsorted(offsets, starts, "right") - 1
@@ -65,53 +71,111 @@ def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (number[1:] != number[:-1])])) if len(starts) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(starts)) if len(first) else first
     n = last - first
+    fields = np.concatenate([[0], np.cumsum(field)])
+    mostly = np.repeat(2 * (fields[last] - fields[first]) > n, n)
+    token = np.where(field & ~mostly, FIELD, token)
     full = span_hashes(token, first, last)
     leaf = mix(span_hashes(token, first, first + np.minimum(n, LEADING)) + mix(n.astype(U)))
-    return {"text": text[first], "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token}
+    own = text[first]
+    fresh = np.zeros(len(own), bool)
+    if len(own):
+        order = np.lexsort((number[first], full, own))
+        o, f = own[order], full[order]
+        fresh[order] = np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])])
+    return {"text": own, "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token, "fresh": fresh}
 
 
 def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(row, id, number, n, total, leaf, full, fresh, tokens)``, a row for each line with tokens.
+    """``(row, id, number, n, total, leaf, full, fresh)``, a row for each line with tokens.
 
-    ``fresh`` marks a document's first line of that hash. A further row for each document has number
-    -1 and the number of its lines as ``n``. Tokens are 16-bit hashes.
+    A further row for each document has number -1 and the number of its lines as ``n``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "id", "number", "n", "total", "leaf", "full", "fresh"]
+        long = lambda a: pa.array(a.astype(np.int64))
         for part in slices(batches, text):
             flat, offsets = texts(part[text])
             ids, rows = part[key].cast(pa.int64()), row_hashes(part[key], flat, offsets)
             got = parse(flat, offsets)
             own, n = got["text"], got["n"]
-            total = np.bincount(own, n, part.num_rows).astype(np.int64)
-            order = np.lexsort((got["number"], got["full"], own))
-            fresh = np.zeros(len(own), bool)
-            if len(order):
-                o, f = own[order], got["full"][order]
-                fresh[order] = np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])])
-            tokens = pa.ListArray.from_arrays(pa.array(np.append(got["first"], len(got["token"])), pa.int32()), pa.array((got["token"] >> U(48)).astype(np.int32)))
-            names = ["row", "id", "number", "n", "total", "leaf", "full", "fresh", "tokens"]
-            long = lambda a: pa.array(a.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), pa.array(got["number"].astype(np.int32)), long(n), long(total[own]), long(got["leaf"]), long(got["full"]), pa.array(fresh), tokens], names)
+            total = np.bincount(own, n, part.num_rows)
+            yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), pa.array(got["number"].astype(np.int32)), long(n), long(total[own]), long(got["leaf"]), long(got["full"]), pa.array(got["fresh"])], names)
             breaks = np.concatenate([[0], np.cumsum(flat == NEWLINE)])
-            count = breaks[offsets[1:]] - breaks[offsets[:-1]] + 1
             none = lambda kind: pa.nulls(part.num_rows, kind)
-            yield pa.RecordBatch.from_arrays([long(rows), ids, pa.array(np.full(part.num_rows, -1, np.int32)), long(count), long(total), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.list_(pa.int32()))], names)
+            yield pa.RecordBatch.from_arrays([long(rows), ids, pa.array(np.full(part.num_rows, -1, np.int32)), long(breaks[offsets[1:]] - breaks[offsets[:-1]] + 1), long(total), none(pa.int64()), none(pa.int64()), none(pa.bool_())], names)
 
-    return docs.select(key, text).mapInArrow(run, "row long, id long, number int, n long, total long, leaf long, full long, fresh boolean, tokens array<int>")
+    return docs.select(key, text).mapInArrow(run, "row long, id long, number int, n long, total long, leaf long, full long, fresh boolean")
+
+
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A map of ``BITMAP`` bits of the keys that a column has; at most that many numbers reach the driver."""
+    bits = keys.select(F.col(column).bitwiseAND(BITMAP - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    out = np.zeros(BITMAP, bool)
+    out[bits] = True
+    return np.packbits(out)
+
+
+def segments_of(docs: DataFrame, leaves: np.ndarray, text: str) -> DataFrame:
+    """``(leaf, full, segment, hash, docs)`` of the lines in leaves of the bitmap.
+
+    Of a line with v variable fields at most, one of v + 1 segments is constant.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.unpackbits(leaves)
+        for part in slices(batches, text):
+            got = parse(*texts(part[text]))
+            own = np.flatnonzero(got["fresh"] & (got["n"] >= CONSTANT_TOKENS) & (bitmap[got["leaf"] & U(BITMAP - 1)] > 0))
+            if not own.size:
+                continue
+            n = got["n"][own]
+            count = np.floor(n * (1 - CONSTANT) + 1e-9).astype(np.int64) + 1
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            size, parts, base = (np.repeat(x, count) for x in (n - LEADING, count, got["first"][own] + LEADING))
+            hashes = span_hashes(got["token"], base + k * size // parts, base + (k + 1) * size // parts)
+            spread = lambda a: pa.array(np.repeat(a[own], count).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), pa.array(k.astype(np.int32)), pa.array(hashes.astype(np.int64))], ["leaf", "full", "segment", "hash"])
+
+    rows = docs.select(text).mapInArrow(run, "leaf long, full long, segment int, hash long")
+    return rows.groupBy("leaf", "full", "segment", "hash").agg(F.count("*").alias("docs"))
+
+
+def places_of(docs: DataFrame, lines: np.ndarray, text: str) -> DataFrame:
+    """``(leaf, full, n, place, token, docs)`` of the lines of the bitmap, added up over documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.unpackbits(lines)
+        for part in slices(batches, text):
+            got = parse(*texts(part[text]))
+            own = np.flatnonzero(got["fresh"] & (bitmap[got["full"] & U(BITMAP - 1)] > 0))
+            if not own.size:
+                continue
+            n = got["n"][own]
+            at = gather(got["first"][own], n)
+            spread = lambda a: pa.array(np.repeat(a[own], n).astype(np.int64))
+            place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), spread(got["n"]), pa.array(place.astype(np.int32)), pa.array((got["token"][at] >> U(32)).astype(np.int64))], ["leaf", "full", "n", "place", "token"])
+
+    rows = docs.select(text).mapInArrow(run, "leaf long, full long, n long, place int, token long")
+    return rows.groupBy("leaf", "full", "n", "place", "token").agg(F.count("*").alias("docs"))
 
 
 def enough(docs: str = "docs", n: str = "n") -> F.Column:
     return F.col(docs) >= F.when(F.col(n) >= LONG, LONG_DOCS).otherwise(MIN_DOCS)
 
 
-def recurring(lines: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``(full, template)`` of the lines to drop; ``lines`` must be fixed."""
     real = lines.filter("number >= 0")
-    fulls = keep(real.filter("fresh").groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "line-hashes")
+    fulls = keep(real.filter("fresh").groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n")), "line-hashes")
     # leaves in which generalisation could matter: several different lines and enough documents
     leaves = fulls.filter(F.col("n") >= CONSTANT_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).filter((F.col("all") >= MIN_DOCS) & (F.col("kinds") > 1))
-    places = fulls.join(leaves.select("leaf"), "leaf").select("leaf", "full", "docs", "n", F.posexplode("tokens").alias("place", "token"))
+    leaves = keep(leaves.select("leaf"), "leaves")
+    segments = keep(segments_of(docs, bitmap_of(leaves, "leaf"), text).join(leaves, "leaf", "left_semi"), "segments")
+    shared = segments.groupBy("leaf", "segment", "hash").agg(F.sum("docs").alias("all")).filter(F.col("all") >= MIN_DOCS).select("leaf", "segment", "hash")
+    alike = keep(segments.join(shared, ["leaf", "segment", "hash"]).select("full").distinct(), "alike")
+    places = keep(places_of(docs, bitmap_of(alike, "full"), text).join(alike, "full", "left_semi"), "places")
     support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
     constant = places.join(support, ["leaf", "place", "token"])
     general = constant.groupBy("leaf", "full").agg(F.count("*").alias("kept"), F.first("n").alias("n"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
@@ -125,16 +189,16 @@ def recurring(lines: DataFrame) -> DataFrame:
     found = keep(exact.unionByName(wide), "recurring")
     # whole copies are not for this operator
     hit = real.join(found, "full").select("row", "template", "n", "total")
-    share = hit.groupBy("row").agg((F.sum("n") / F.first("total")).alias("share"))
-    carriers = hit.select("row", "template").distinct().join(share, "row").groupBy("template").agg(F.avg("share").alias("share"))
-    return found.join(carriers.filter(F.col("share") <= COPY_SHARE).select("template"), "template").select("full", "template")
+    share = hit.groupBy("row").agg((F.sum("n") / F.first("total")).alias("share")).filter(F.col("share") <= COPY_SHARE)
+    carriers = hit.join(share, "row").select("template", "row", "n").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.first("n").alias("n"))
+    return found.join(carriers.filter(enough()).select("template"), "template").select("full", "template")
 
 
 def dropped_lines(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """All lines, and ``(row, numbers)`` of the lines that go."""
     lines = keep(lines_of(docs, text, key), "lines")
     real = lines.filter("number >= 0").withColumn("place", F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row"))
-    hit = keep(real.join(keep(recurring(lines), "templates"), "full").select("row", "place", "number", "template"), "hits")
+    hit = keep(real.join(keep(recurring(lines, docs, text), "templates"), "full").select("row", "place", "number", "template"), "hits")
     first = hit.groupBy("template").agg(F.min("place").alias("first"))
     gone = hit.join(first, "template").filter("place <> first")
     return lines, gone.groupBy("row").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
