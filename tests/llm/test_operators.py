@@ -197,7 +197,7 @@ def test_best_fit_on_ties():
 
 # -- 3 -----------------------------------------------------------------------------------------
 def test_line_dedup(spark):
-    own = [f"unique body {k} " + " ".join(f"word{k}x{i}" for i in range(30)).replace("x", "abc"[k % 3]) for k in range(12)]
+    own = [f"unique body {k} " + " ".join(f"word{chr(97 + k)}x{chr(97 + i)}" for i in range(26)) for k in range(12)]
     body = [" ".join(chr(97 + (k * 7 + i * 3) % 26) * (2 + (i * k) % 5) for i in range(60)) for k in range(12)]
     passage = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
     rows = [(k, "\n".join([own[k], body[k], "Read more at page %d of this site now" % k] + ([passage] if k in (2, 9) else []))) for k in range(12)]
@@ -392,11 +392,13 @@ def test_near_classes(spark):
 
 def test_similarity_is_the_full_alignment():
     rng = np.random.default_rng(4)
-    for _ in range(60):
+    met = 0
+    for _ in range(200):
         a = rng.integers(0, 40, rng.integers(5, 60)).astype(np.uint64)
         b = a.copy()
-        for k in rng.integers(0, len(b), 3):
-            b = np.insert(np.delete(b, min(k, len(b) - 1)), min(k, len(b) - 1), rng.integers(0, 40, rng.integers(0, 3)).astype(np.uint64))
+        for k in rng.integers(0, len(b), rng.integers(0, 4)):
+            k = min(k, len(b) - 1)
+            b = np.insert(np.delete(b, k), k, rng.integers(0, 40, rng.integers(0, 3)).astype(np.uint64))
         row = [0] * (len(b) + 1)
         for x in a:
             new = [0]
@@ -405,7 +407,9 @@ def test_similarity_is_the_full_alignment():
             row = new
         full = row[-1] / (len(a) + len(b) - row[-1])
         got = near_dedup.similarity(a, b)
-        assert got == pytest.approx(full) if full >= 0.8 else got < 0.8
+        met += full >= 0.8
+        assert got == pytest.approx(full) if full >= 0.8 else got < 0.8, (a, b, got, full)
+    assert met > 30
 
 
 def test_near_dedup_of_odd_rows(spark, odd, none):
