@@ -5,9 +5,10 @@
 2. ``SKETCHES`` keys for each node: the two least occurrence-numbered shingles under one hash
    function, in text order. A bucket is a key and a band of shingle counts; bands overlap so that any
    two texts whose counts allow the similarity share one.
-3. Each bucket's members are verified against the bucket's least node; those that fail try
-   the least of the members left, ``ROUNDS`` times. That is linear in a bucket's size, and a true
-   pair shares two thirds of its keys, so it is met in other buckets too.
+3. Each bucket's members are verified against the bucket's least node, which settles groups of copies.
+   Buckets whose other members are then still in several components are verified in full: in blocks of
+   about ``BLOCK`` members, every pair of two components, until the block is one. A bound from counts of
+   ``BINS`` shingle classes spares most pairs the alignment; it never falls below the similarity.
 4. Verification aligns the two shingle sequences inside the diagonal band outside of which the
    similarity can't be reached. similarity = aligned / (n1 + n2 - aligned) >= ``SIMILARITY``. Members
    of one leader are salted over tasks; a task holds one leader's words at a time.
@@ -39,9 +40,11 @@ from codexa.llm.text import LOWER, U, gather, runs, slices, span_hashes, texts
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 10
-ROUNDS = 2
 #: Members of one leader that one salt gets.
 SALT_ROWS = 64
+#: Members of a block of an open bucket, and classes of shingles that are counted for the bound.
+BLOCK = 512
+BINS = 1024
 NO_ID = -(1 << 63)
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -177,9 +180,68 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "id long, leader long")
 
 
+def alike(marks: list[np.ndarray], component: np.ndarray, side: np.ndarray, crossed: bool, least: float) -> list[tuple[int, int]]:
+    """Links (places of two members) that join all of the members' components that similar pairs join.
+
+    ``marks`` are 16-bit words; if ``crossed``, only pairs of different sides count. Pairs of one component
+    are not looked at.
+    """
+    n = np.array([max(len(m) - SHINGLE + 1, min(len(m), 1)) for m in marks])
+    bins = np.zeros((len(marks), BINS), np.int32)
+    for k, m in enumerate(marks):
+        bins[k] = np.bincount((shingles(m) >> U(54)).astype(np.int64), minlength=BINS)
+    label, out = component.copy(), []
+    for i in range(len(marks)):
+        others = np.flatnonzero((label[i + 1 :] != label[i]) & (~crossed | (side[i + 1 :] != side[i]))) + i + 1
+        small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+        others = others[small >= least * large]
+        needed = np.ceil((n[i] + n[others]) * least / (1 + least) - 1e-9)
+        others = others[np.minimum(bins[i], bins[others]).sum(axis=1) >= needed]
+        if not others.size:
+            continue
+        base = shingles(marks[i])
+        for j in others.tolist():
+            if label[j] != label[i] and similarity(base, shingles(marks[j]), least) >= least:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def settled(rest: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Links (id, leader) among the members of each bucket of ``rest`` (key, id, component)."""
+    spark = rest.sparkSession
+    open_ = rest.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    # buckets of the same members are verified once
+    open_ = open_.filter("low <> high").groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    member = rest.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("key", "id", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    rows = member.join(words, "id").select("key", "low", "high", "side", "id", "component", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            ids, component, side = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
+            got = alike([np.frombuffer(h[3], "<u2") for h in held], component, side, now[1] != now[2], least)
+            return pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in got], pa.int64()), pa.array([int(ids[j]) for _, j in got], pa.int64())], ["id", "leader"])
+
+        for part in slices(batches, "words"):
+            for key, low, high, side, own, component, data in zip(*(part[c].to_pylist() for c in ("key", "low", "high", "side", "id", "component", "words")), strict=True):
+                if now != (key, low, high):
+                    if held:
+                        yield links()
+                    now, held = (key, low, high), []
+                held.append((own, component, side, data))
+        if held:
+            yield links()
+
+    dealt = rows.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(run, "id long, leader long")
+
+
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``(id, sig, class_id)``, one row for each row of ``docs``; ids are never null (``NO_ID``)."""
-    spark = docs.sparkSession
     table = keep(described(docs, text, key).withColumn("id", F.coalesce("id", F.lit(NO_ID))), "words")
     # one row for each node, gathered before the shuffle: copies of a text have the same words
     own = table.groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "words", "keys")))
@@ -188,18 +250,13 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     words = own.select(F.col("node").alias("id"), "words")
     buckets = own.select(F.col("node").alias("id"), F.explode("keys").alias("key"), band_of(F.col("n"), least).alias("bands"))
     left = keep(buckets.select("id", "key", F.explode("bands").alias("band")).select("id", F.xxhash64("key", "band").alias("key")), "buckets")
-    links, tried = None, None
-    for _ in range(ROUNDS):
-        lead = keep(left.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members"), "leaders")
-        met = keep(left.join(lead, "key").filter("id <> leader"), "met")
-        pairs = met.select("id", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["id", "leader"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        good = keep(verified(pairs, words, least), "links")
-        links = good if links is None else links.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        left = keep(met.join(links, ["id", "leader"], "left_anti").select("id", "key"), "left")
+    lead = keep(left.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "leaders")
+    met = keep(left.join(lead, "key").filter("id <> leader"), "met")
+    links = keep(verified(keep(met.select("id", "leader").distinct(), "pairs"), words, least), "links")
+    # a leader is settled with all of its bucket; the others are with those of their own component
+    known = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    rest = met.filter("members > 2").join(known, met["id"] == known["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    links = links.unionByName(keep(settled(keep(rest, "rest"), words, least), "links"))
     classes = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     tied = nodes.join(classes, nodes["node"] == classes["node"], "left").select("sig", "rep", F.coalesce("component", nodes["node"]).alias("component"))
     least_id = tied.groupBy("component").agg(F.min("rep").alias("class_id"))

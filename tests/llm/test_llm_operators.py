@@ -424,6 +424,22 @@ def test_near_dedup_of_a_hot_group(spark):
     assert sum(r["kept"] for r in got) == 21
 
 
+def test_near_pairs_in_hot_buckets(spark):
+    """Pairs whose texts are mostly one passage that many others have too, whom they are not similar to."""
+    rng = np.random.default_rng(11)
+    passage = [f"common{k}" for k in range(170)]
+    rows = []
+    for pair in range(40):
+        own = [f"own{pair}x{k}" for k in range(30)]
+        rows.append((2 * pair, " ".join(passage + own)))
+        for k in (7, 15, 23):
+            own[k] = f"changed{pair}x{int(rng.integers(0, 99))}y{k}"
+        rows.append((2 * pair + 1, " ".join(passage + own)))
+    assert brute_similarity(rows[0][1], rows[1][1]) >= 0.8 > brute_similarity(rows[0][1], rows[2][1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k in range(80)}
+
+
 # -- 10 ----------------------------------------------------------------------------------------
 def test_quality(spark, odd, none):
     rng = np.random.default_rng(9)
