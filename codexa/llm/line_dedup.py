@@ -4,10 +4,9 @@ The tree has fixed depth: token count, then the first ``LEADING`` tokens; tokens
 or ``://`` are variable fields, unless that is most of the line. In a leaf, a token that fewer than
 ``MIN_DOCS`` of these documents have at its position becomes a variable field as well, if ``CONSTANT`` of the
 line stays constant. What is left is the line's template; it recurs if enough different documents have it (``MIN_DOCS``, or
-``LONG_DOCS`` for lines of ``LONG`` tokens or more). Documents that consist of recurring lines by more
-than ``COPY_SHARE`` are copies of whole documents, which is for document-level operators to judge: a
-template counts only if enough other documents have it. Its lines are dropped from all documents but
-the one of the least id.
+``LONG_DOCS`` for lines of ``LONG`` tokens or more). Documents of equal texts count as one wherever
+documents are counted: a template that only copies of one text have does not recur. Its lines are
+dropped from all documents but the one of the least id.
 
 Nothing gathers a leaf: equal lines are pre-aggregated, supports and templates are grouped sums, and a
 template's hash is a sum over its constant positions, so a hot leaf spreads over tasks. Tokens leave
@@ -38,7 +37,6 @@ LEADING = 2
 MIN_DOCS = 5
 LONG, LONG_DOCS = 20, 2
 CONSTANT, CONSTANT_TOKENS = 0.8, 5
-COPY_SHARE = 0.5
 #: Bits of the maps of leaves and lines that generalisation looks at.
 BITMAP = 1 << 23
 NEWLINE = 10
@@ -86,26 +84,26 @@ def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(row, id, number, n, total, leaf, full, fresh)``, a row for each line with tokens.
+    """``(row, id, same, number, n, leaf, full, fresh)``, a row for each line with tokens; ``same`` is the text's hash.
 
     A further row for each document has number -1 and the number of its lines as ``n``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "id", "number", "n", "total", "leaf", "full", "fresh"]
+        names = ["row", "id", "same", "number", "n", "leaf", "full", "fresh"]
         long = lambda a: pa.array(a.astype(np.int64))
         for part in slices(batches, text):
             flat, offsets = texts(part[text])
             ids, rows = part[key].cast(pa.int64()), row_hashes(part[key], flat, offsets)
+            same = span_hashes(flat, offsets[:-1], offsets[1:])
             got = parse(flat, offsets)
-            own, n = got["text"], got["n"]
-            total = np.bincount(own, n, part.num_rows)
-            yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), pa.array(got["number"].astype(np.int32)), long(n), long(total[own]), long(got["leaf"]), long(got["full"]), pa.array(got["fresh"])], names)
+            own = got["text"]
+            yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), long(same[own]), pa.array(got["number"].astype(np.int32)), long(got["n"]), long(got["leaf"]), long(got["full"]), pa.array(got["fresh"])], names)
             breaks = np.concatenate([[0], np.cumsum(flat == NEWLINE)])
             none = lambda kind: pa.nulls(part.num_rows, kind)
-            yield pa.RecordBatch.from_arrays([long(rows), ids, pa.array(np.full(part.num_rows, -1, np.int32)), long(breaks[offsets[1:]] - breaks[offsets[:-1]] + 1), long(total), none(pa.int64()), none(pa.int64()), none(pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([long(rows), ids, long(same), pa.array(np.full(part.num_rows, -1, np.int32)), long(breaks[offsets[1:]] - breaks[offsets[:-1]] + 1), none(pa.int64()), none(pa.int64()), none(pa.bool_())], names)
 
-    return docs.select(key, text).mapInArrow(run, "row long, id long, number int, n long, total long, leaf long, full long, fresh boolean")
+    return docs.select(key, text).mapInArrow(run, "row long, id long, same long, number int, n long, leaf long, full long, fresh boolean")
 
 
 def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -117,7 +115,7 @@ def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def segments_of(docs: DataFrame, leaves: np.ndarray, text: str) -> DataFrame:
-    """``(leaf, full, segment, hash, docs)`` of the lines in leaves of the bitmap.
+    """``(leaf, full, segment, hash)`` of the lines in leaves of the bitmap, each once.
 
     Of a line with v variable fields at most, one of v + 1 segments is constant.
     """
@@ -138,11 +136,11 @@ def segments_of(docs: DataFrame, leaves: np.ndarray, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), pa.array(k.astype(np.int32)), pa.array(hashes.astype(np.int64))], ["leaf", "full", "segment", "hash"])
 
     rows = docs.select(text).mapInArrow(run, "leaf long, full long, segment int, hash long")
-    return rows.groupBy("leaf", "full", "segment", "hash").agg(F.count("*").alias("docs"))
+    return rows.distinct()
 
 
 def places_of(docs: DataFrame, lines: np.ndarray, text: str) -> DataFrame:
-    """``(leaf, full, n, place, token, docs)`` of the lines of the bitmap, added up over documents."""
+    """``(leaf, full, n, place, token)`` of the lines of the bitmap, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(lines)
@@ -158,7 +156,7 @@ def places_of(docs: DataFrame, lines: np.ndarray, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), spread(got["n"]), pa.array(place.astype(np.int32)), pa.array((got["token"][at] >> U(32)).astype(np.int64))], ["leaf", "full", "n", "place", "token"])
 
     rows = docs.select(text).mapInArrow(run, "leaf long, full long, n long, place int, token long")
-    return rows.groupBy("leaf", "full", "n", "place", "token").agg(F.count("*").alias("docs"))
+    return rows.distinct()
 
 
 def enough(docs: str = "docs", n: str = "n") -> F.Column:
@@ -168,30 +166,26 @@ def enough(docs: str = "docs", n: str = "n") -> F.Column:
 def recurring(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``(full, template)`` of the lines to drop; ``lines`` must be fixed."""
     real = lines.filter("number >= 0")
-    fulls = keep(real.filter("fresh").groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n")), "line-hashes")
+    fulls = keep(real.filter("fresh").select("leaf", "full", "n", "same").distinct().groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n")), "line-hashes")
     # leaves in which generalisation could matter: several different lines and enough documents
     leaves = fulls.filter(F.col("n") >= CONSTANT_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).filter((F.col("all") >= MIN_DOCS) & (F.col("kinds") > 1))
     leaves = keep(leaves.select("leaf"), "leaves")
-    segments = keep(segments_of(docs, bitmap_of(leaves, "leaf"), text).join(leaves, "leaf", "left_semi"), "segments")
+    inside = fulls.join(leaves, "leaf", "left_semi").select("full", "docs")
+    segments = keep(segments_of(docs, bitmap_of(leaves, "leaf"), text).join(inside, "full"), "segments")
     shared = segments.groupBy("leaf", "segment", "hash").agg(F.sum("docs").alias("all")).filter(F.col("all") >= MIN_DOCS).select("leaf", "segment", "hash")
-    alike = keep(segments.join(shared, ["leaf", "segment", "hash"]).select("full").distinct(), "alike")
-    places = keep(places_of(docs, bitmap_of(alike, "full"), text).join(alike, "full", "left_semi"), "places")
+    alike = keep(segments.join(shared, ["leaf", "segment", "hash"]).select("full", "docs").distinct(), "alike")
+    places = keep(places_of(docs, bitmap_of(alike, "full"), text).join(alike, "full"), "places")
     support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
     constant = places.join(support, ["leaf", "place", "token"])
     general = constant.groupBy("leaf", "full").agg(F.count("*").alias("kept"), F.first("n").alias("n"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
     general = general.filter((F.col("kept") >= CONSTANT * F.col("n")) & (F.col("kept") < F.col("n"))).select("full", F.xxhash64("leaf", "kept", "mark").alias("template"), "n")
     # a line's own hash is its template if that recurs; else its generalised form, if that does
     exact = fulls.filter(enough()).select("full", F.col("full").alias("template"))
-    # documents count once for each generalised template, whatever variants they have
-    spread = real.filter("fresh").join(general.select("full", "template"), "full").select("template", "row", "n").distinct()
+    # texts count once for each generalised template, whatever variants they have
+    spread = real.filter("fresh").join(general.select("full", "template"), "full").select("template", "same", "n").distinct()
     often = spread.groupBy("template").agg(F.count("*").alias("docs"), F.first("n").alias("n")).filter(enough()).select("template")
     wide = general.join(often, "template").select("full", "template").join(exact.select("full"), "full", "left_anti")
-    found = keep(exact.unionByName(wide), "recurring")
-    # whole copies are not for this operator
-    hit = real.join(found, "full").select("row", "template", "n", "total")
-    share = hit.groupBy("row").agg((F.sum("n") / F.first("total")).alias("share")).filter(F.col("share") <= COPY_SHARE)
-    carriers = hit.join(share, "row").select("template", "row", "n").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.first("n").alias("n"))
-    return found.join(carriers.filter(enough()).select("template"), "template").select("full", "template")
+    return exact.unionByName(wide)
 
 
 def dropped_lines(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -216,6 +216,17 @@ def test_line_dedup_generalises_fields(spark):
     assert got == {0: 0} | dict.fromkeys(range(1, 8), 1)
 
 
+def test_line_dedup_counts_every_distinct_document(spark):
+    """Documents that a passage is most of are carriers; copies of one text are one carrier."""
+    words = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    passage, other, single = words("passage", 60), words("other", 30), words("single", 30)
+    rows = [(k, passage + "\n" + words(f"own{chr(97 + k)}q", 40)) for k in range(6)]
+    rows += [(10, other + "\n" + words("ordinary", 50))] + [(20 + k, words("copied", 50) + "\n" + other) for k in range(5)]
+    rows += [(30 + k, single) for k in range(3)]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got == {0: []} | {k: [0] for k in range(1, 6)} | {10: []} | {20 + k: [1] for k in range(5)} | {30 + k: [] for k in range(3)}
+
+
 def test_line_dedup_on_odd_rows(spark, odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count()
