@@ -1,10 +1,10 @@
 """Line deduplication by a log-template tree (operator 3).
 
 The tree has fixed depth: token count, then the first ``LEADING`` tokens; tokens with digits, an at sign
-or ``://`` are variable fields, unless that is most of the line. In a leaf, a token that fewer than
-``MIN_DOCS`` of these documents have at its position becomes a variable field as well, if ``CONSTANT`` of the
-line stays constant. What is left is the line's template; it recurs if enough different documents have it (``MIN_DOCS``, or
-``LONG_DOCS`` for lines of ``LONG`` tokens or more). Documents of equal texts count as one wherever
+or ``://`` are variable fields, unless that is most of the line. In a leaf, a token that too few
+documents have at its position becomes a variable field as well, if ``CONSTANT`` of the line stays
+constant. What is left is the line's template; it recurs if enough different documents have it. Enough is
+``MIN_DOCS``, or ``LONG_DOCS`` for lines of ``LONG`` tokens or more, for tokens and for templates. Documents of equal texts count as one wherever
 documents are counted: a template that only copies of one text have does not recur. Its lines are
 dropped from all documents but the one of the least id.
 
@@ -46,16 +46,20 @@ MARKS = np.zeros(256, bool)
 MARKS[[*range(48, 58), ord("@")]] = True
 
 
-def row_hashes(ids: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The identity of each row, from its id and text, the same at every reading."""
+def row_hashes(ids: pa.Array, same: np.ndarray) -> np.ndarray:
+    """The identity of each row, from its id and its text's hash, the same at every reading."""
     own = np.asarray(ids.cast(pa.int64()).fill_null(NO_ID)).astype(np.int64).astype(U)
-    return mix(span_hashes(flat, offsets[:-1], offsets[1:]) + mix(own)).astype(np.int64)
+    return mix(same + mix(own)).astype(np.int64)
 
 
 def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All lines with tokens: text, number, leaf, full hash, tokens and where they begin; ``fresh``: a text's first line of that hash."""
+    """All lines with tokens: text, number, leaf, full hash, tokens and where they begin; ``fresh``: a text's first line of that hash.
+
+    ``same`` are the hashes of the texts.
+    """
     starts, ends, _ = runs(~ASCII_SPACE[flat], offsets)
-    token = span_hashes(flat, starts, ends)
+    hashes = span_hashes(flat, np.concatenate([offsets[:-1], starts]), np.concatenate([offsets[1:], ends]))
+    same, token = hashes[: len(offsets) - 1], hashes[len(offsets) - 1 :]
     marks = np.concatenate([[0], np.cumsum(MARKS[flat])])
     colon = np.zeros(len(flat) + 1, np.int64)
     if len(flat) > 2:
@@ -77,10 +81,10 @@ def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     own = text[first]
     fresh = np.zeros(len(own), bool)
     if len(own):
-        order = np.lexsort((number[first], full, own))
+        order = np.lexsort((full, own))
         o, f = own[order], full[order]
         fresh[order] = np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])])
-    return {"text": own, "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token, "fresh": fresh}
+    return {"text": own, "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token, "fresh": fresh, "same": same}
 
 
 def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -94,10 +98,9 @@ def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
         long = lambda a: pa.array(a.astype(np.int64))
         for part in slices(batches, text):
             flat, offsets = texts(part[text])
-            ids, rows = part[key].cast(pa.int64()), row_hashes(part[key], flat, offsets)
-            same = span_hashes(flat, offsets[:-1], offsets[1:])
             got = parse(flat, offsets)
-            own = got["text"]
+            own, same = got["text"], got["same"]
+            ids, rows = part[key].cast(pa.int64()), row_hashes(part[key], same)
             yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), long(same[own]), pa.array(got["number"].astype(np.int32)), long(got["n"]), long(got["leaf"]), long(got["full"]), pa.array(got["fresh"])], names)
             breaks = np.concatenate([[0], np.cumsum(flat == NEWLINE)])
             none = lambda kind: pa.nulls(part.num_rows, kind)
@@ -168,15 +171,16 @@ def recurring(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     real = lines.filter("number >= 0")
     fulls = keep(real.filter("fresh").select("leaf", "full", "n", "same").distinct().groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n")), "line-hashes")
     # leaves in which generalisation could matter: several different lines and enough documents
-    leaves = fulls.filter(F.col("n") >= CONSTANT_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).filter((F.col("all") >= MIN_DOCS) & (F.col("kinds") > 1))
+    leaves = fulls.filter(F.col("n") >= CONSTANT_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.first("n").alias("n")).filter(enough("all") & (F.col("kinds") > 1))
     leaves = keep(leaves.select("leaf"), "leaves")
-    inside = fulls.join(leaves, "leaf", "left_semi").select("full", "docs")
+    inside = fulls.join(leaves, "leaf", "left_semi").select("full", "docs", "n")
     segments = keep(segments_of(docs, bitmap_of(leaves, "leaf"), text).join(inside, "full"), "segments")
-    shared = segments.groupBy("leaf", "segment", "hash").agg(F.sum("docs").alias("all")).filter(F.col("all") >= MIN_DOCS).select("leaf", "segment", "hash")
+    # lines of one template share a segment, so one that a single line has tells nothing
+    shared = segments.groupBy("leaf", "segment", "hash").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.first("n").alias("n")).filter(enough("all") & (F.col("kinds") > 1)).select("leaf", "segment", "hash")
     alike = keep(segments.join(shared, ["leaf", "segment", "hash"]).select("full", "docs").distinct(), "alike")
     places = keep(places_of(docs, bitmap_of(alike, "full"), text).join(alike, "full"), "places")
-    support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support")).filter(F.col("support") >= MIN_DOCS)
-    constant = places.join(support, ["leaf", "place", "token"])
+    support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.first("n").alias("n")).filter(enough("support"))
+    constant = places.join(support.select("leaf", "place", "token"), ["leaf", "place", "token"])
     general = constant.groupBy("leaf", "full").agg(F.count("*").alias("kept"), F.first("n").alias("n"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
     general = general.filter((F.col("kept") >= CONSTANT * F.col("n")) & (F.col("kept") < F.col("n"))).select("full", F.xxhash64("leaf", "kept", "mark").alias("template"), "n")
     # a line's own hash is its template if that recurs; else its generalised form, if that does
@@ -217,7 +221,8 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: st
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_hashes(part[key], *texts(part[text])))], [*names, row])
+            flat, offsets = texts(part[text])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_hashes(part[key], span_hashes(flat, offsets[:-1], offsets[1:])))], [*names, row])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):

@@ -216,6 +216,15 @@ def test_line_dedup_generalises_fields(spark):
     assert got == {0: 0} | dict.fromkeys(range(1, 8), 1)
 
 
+def test_line_dedup_generalises_long_lines_from_two_documents(spark):
+    words = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    rows = [(k, words(f"own{chr(97 + k)}q", 40) + "\n" + words("pair", 30) + f" {name} " + words("tail", 29)) for k, name in enumerate(["smith", "jones"])]
+    rows += [(10 + k, words("four", 24) + f" {name}") for k, name in enumerate(["oak", "elm", "ash", "fir"])]
+    rows += [(20 + k, words("brief", 18) + f" {name}") for k, name in enumerate(["oak", "elm", "ash", "fir"])]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got == {0: [], 1: [1], 10: [], 11: [0], 12: [0], 13: [0]} | {20 + k: [] for k in range(4)}
+
+
 def test_line_dedup_counts_every_distinct_document(spark):
     """Documents that a passage is most of are carriers; copies of one text are one carrier."""
     words = lambda name, n: " ".join(f"{name}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
