@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of letters and digits. A template is sought where a text has pairs of
 neighbouring words that the template has once: hits of rising template order and small distance
-form a place, and a place with at least ``SEED_SHARE`` of the template's pairs is aligned. Alignment
+form a chain, which stray hits don't end. Every chain whose words could reach the threshold, or exceed the
+best coverage so far, is aligned; chains of ``SEED_SHARE`` of the template's pairs bound the ranges of others. Alignment
 anchors on words that are unique to both sides, takes the longest increasing subsequence of them, and
 recurses into the gaps between; a gap without such words falls back to a longest common subsequence.
 Coverage is the share of the template's words that are aligned. One scan, no shuffle; the templates are
@@ -153,6 +154,7 @@ class Scanner:
         flat, offsets = texts(pa.array([text for _, text in templates]))
         hashes, bounds = word_hashes(flat, offsets)
         self.words = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.bags = [np.unique(words, return_counts=True) for words in self.words]
         self.index, self.owners = HashIndex(1 << 12), []
         self.pairs = []
         for t, words in enumerate(self.words):
@@ -165,37 +167,56 @@ class Scanner:
             for k, q in zip(number.tolist(), place.tolist(), strict=True):
                 self.owners[k].append((t, q))
 
-    def places(self, hits: list[tuple[int, int]], t: int) -> Iterator[tuple[int, int, int]]:
-        """Text ranges where template t may be, from (text place, template place) hits in text order."""
+    def places(self, hits: list[tuple[int, int]], t: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(begin, end, first hit, last hit)`` where template t may be, most hits first, from (text place, template place) hits in text order."""
         size = len(self.words[t])
-        groups: list[list[tuple[int, int]]] = []
-        for hit in hits:
-            if groups and hit[1] > groups[-1][-1][1] and hit[0] - groups[-1][-1][0] <= size:
-                groups[-1].append(hit)
+        chains: list[list[tuple[int, int]]] = []
+        live: list[list[tuple[int, int]]] = []
+        for p, q in hits:
+            live = [c for c in live if p - c[-1][0] <= size]
+            fit = [c for c in live if q > c[-1][1]]
+            if fit:
+                # the chain that needs the fewest words more or less up to this hit
+                min(fit, key=lambda c: abs(p - c[-1][0] - q + c[-1][1])).append((p, q))
             else:
-                groups.append([hit])
+                live.append([(p, q)])
+                chains.append(live[-1])
         slack = size // 4 + 2
-        for k, group in enumerate(groups):
-            if len(group) < SEED_SHARE * self.pairs[t]:
-                continue
-            low = groups[k - 1][-1][0] + 2 if k else 0
-            high = groups[k + 1][0][0] if k + 1 < len(groups) else 1 << 62
-            yield max(low, group[0][0] - group[0][1] - slack), min(high, group[-1][0] + size - group[-1][1] + slack), len(group)
+        firm = [(c[0][0], c[-1][0]) for c in chains if len(c) >= SEED_SHARE * self.pairs[t]]
+        for c in sorted(chains, key=len, reverse=True):
+            (first, q), (last, r) = c[0], c[-1]
+            low = max((e + 2 for _, e in firm if e < first), default=0)
+            high = min((b for b, _ in firm if b > last), default=1 << 62)
+            yield max(low, first - 2 * q - slack), min(high, last + 2 * (size - r) + slack), first, last
+
+    def bound(self, words: np.ndarray, t: int) -> float:
+        """No alignment of ``words`` covers more of template t."""
+        known, counts = self.bags[t]
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return float(np.minimum(np.bincount(at[known[at] == words], minlength=len(known)), counts).sum()) / len(self.words[t])
 
-    def scan(self, words: np.ndarray, found: list[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
+    def scan(self, words: np.ndarray, found: list[tuple[int, int]], least: float = COVERAGE) -> list[tuple[float, int, int, int]]:
         """``(coverage, template, first word, last word)`` of each place; ``found``: (place, pair number)."""
         hits: dict[int, list[tuple[int, int]]] = {}
         for p, k in found:
             for t, q in self.owners[k]:
                 hits.setdefault(t, []).append((p, q))
-        out = []
-        for t, own in hits.items():
-            template = self.words[t].tolist()
-            for a, b, _ in self.places(own, t):
-                aligned = patience(words[max(0, a) : b].tolist(), template)
-                if aligned:
-                    base = max(0, a)
-                    out.append((len(aligned) / len(template), t, base + aligned[0][0], base + aligned[-1][0]))
+        tried = [(self.bound(words[a:b], t), t, a, b, first, last) for t, own in hits.items() for a, b, first, last in self.places(own, t)]
+        out, best = [], 0.0
+        # sorted stably: chains of one template and bound stay in the order of their hits
+        for most, t, a, b, first, last in sorted(tried, key=lambda x: -x[0]):
+            if most < least and most <= best:
+                break
+            good = [(x, y) for c, u, x, y in out if u == t and c >= least]
+            if any(x <= first and last < y for x, y in good):
+                continue
+            aligned = patience(words[a:b].tolist(), self.words[t].tolist())
+            if not aligned:
+                continue
+            cover, x, y = len(aligned) / len(self.words[t]), a + aligned[0][0], a + aligned[-1][0]
+            if cover < least or not any(x <= d and c <= y for c, d in good):
+                out.append((cover, t, x, y))
+                best = max(best, cover)
         return out
 
 
@@ -221,7 +242,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             names, cover, spans = [], [], []
             for row in range(part.num_rows):
                 own = at[cut[row] : cut[row + 1]]
-                got = scanner.scan(words[bounds[row] : bounds[row + 1]], list(zip((own - bounds[row]).tolist(), number[own].tolist(), strict=True))) if len(own) else []
+                got = scanner.scan(words[bounds[row] : bounds[row + 1]], list(zip((own - bounds[row]).tolist(), number[own].tolist(), strict=True)), least) if len(own) else []
                 good = [g for g in got if g[0] >= least]
                 # the longer template wins among equally covered ones that say the same
                 best = max(got, key=lambda g: (g[0], len(scanner.words[g[1]]), -g[1]), default=(0.0, 0, 0, 0))

@@ -351,6 +351,20 @@ def test_license_scan(spark, odd, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_scan_past_stray_pairs(spark):
+    apache = next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and len(t) > 200)
+    isc = next(t for n, t in license_scan.TEMPLATES if n == "ISC").split()
+    rows = [
+        (1, apache.replace("software distributed", "all or part of the software distributed")),
+        (2, " ".join(w if k % 7 == 0 else f"{w} extra{k}" for k, w in enumerate(isc))),
+        (3, "x y z " + apache.replace("software distributed", "all or part of the software distributed") + " of the " + apache),
+    ]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs_of(spark, rows)).collect()}
+    assert got[1]["license"] == "Apache-2.0" and got[1]["coverage"] == 1.0
+    assert got[2]["license"] == "ISC" and got[2]["coverage"] > 0.9
+    assert [s["coverage"] > 0.95 for s in got[3]["spans"] if s["last_word"] - s["first_word"] > 40] == [True, True]
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
