@@ -96,21 +96,30 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence, as pairs of places."""
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    other = np.array(b)
-    for i, x in enumerate(a):
-        best = np.maximum(table[i, 1:], np.where(other == x, table[i, :-1] + 1, 0))
-        table[i + 1, 1:] = np.maximum.accumulate(best)
+    """A longest common subsequence, as pairs of places.
+
+    Row i is a number whose bit j is 0 where the longest common subsequence of ``a[:i]`` and ``b[: j + 1]``
+    exceeds that of ``a[:i]`` and ``b[:j]``.
+    """
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    rows = [row]
+    for x in a:
+        hit = row & places.get(x, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
     out, i, j = [], len(a), len(b)
     while i and j:
-        if a[i - 1] == b[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i, j] == table[i - 1, j]:
-            i -= 1
-        else:
+        if rows[i] >> (j - 1) & 1:
             j -= 1
+        else:
+            i -= 1
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
     return out[::-1]
 
 
