@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a grouped minimum and a join over edges; nothing is collected. Each round is written
-to the shared folder, which cuts lineage and survives lost executors.
+to the shared folder, which cuts lineage and survives lost executors; the round before it then goes.
 """
 
 from __future__ import annotations
@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.store import keep
+from codexa.llm.store import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``edges`` (a, b); the component is its least node."""
+    """``(node, component)`` for every node of ``edges`` (a, b), kept; the component is its least node."""
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = keep(small_star(large_star(now)), "stars")
+        last, now = now, keep(small_star(large_star(now)), "stars")
+        drop(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    drop(now)
+    return out
 
 
 def large_star(edges: DataFrame) -> DataFrame:

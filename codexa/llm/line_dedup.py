@@ -1,22 +1,23 @@
 """Line deduplication by a log-template tree (operator 3).
 
-The tree has fixed depth: token count, then the first ``LEADING`` tokens; tokens with digits, an at sign
-or ``://`` are variable fields, unless that is most of the line. In a leaf, a token that too few
-documents have at its position becomes a variable field as well, if ``CONSTANT`` of the line stays
-constant. What is left is the line's template; it recurs if enough different documents have it. Enough is
-``MIN_DOCS``, or ``LONG_DOCS`` for lines of ``LONG`` tokens or more, for tokens and for templates. Documents of equal texts count as one wherever
-documents are counted: a template that only copies of one text have does not recur. Its lines are
-dropped from all documents but the one of the least id.
-
-Nothing gathers a leaf: equal lines are pre-aggregated, supports and templates are grouped sums, and a
-template's hash is a sum over its constant positions, so a hot leaf spreads over tasks. Tokens leave
-the scan only for lines that share a segment with enough documents of their leaf, which any line that
-``CONSTANT`` allows does; bitmaps of ``BITMAP`` bits tell a scan which lines to look at, and exact
-joins remove their false positives.
+The tree has fixed depth: token count, then the first ``LEADING`` tokens, then groups of alike lines. Tokens with
+digits, an at sign or ``://`` are variable fields, unless that is most of the line. Two lines of a leaf (same count, same
+leading tokens) are alike if they agree in at least ``CONSTANT`` of their places; lines of ``CONSTANT_TOKENS`` tokens or
+more form groups, the connected components of alike lines. A group's template keeps the tokens of the places where
+all its lines agree, the other places are variable fields; a line that is alike to none is its own template. A template
+recurs if enough different documents have a line of it: ``MIN_DOCS``, or ``LONG_DOCS`` for lines of ``LONG`` tokens
+or more. Documents of equal texts count as one: a template that only copies of one text have does not recur. The lines
+of a recurring template are dropped from all documents but the one of the least id.
+
+Alike lines are found without loss: lines that differ in v places at most agree in one of the v + 1 segments that the tokens
+after the leading ones are cut into, so (leaf, segment, content) is a key that ``linking`` takes candidates from; the
+comparison is of all tokens, as 16-bit hashes. Nothing gathers a leaf, no line is written once a token, and no map
+of fixed size is kept. One scan reads the texts.
 
 Defined results: null text is empty text; blank lines stay; a line's number counts from 0; rows that
 agree in id and text are one document and get the same result; null ids are least; an empty table
-gives an empty result; only the id and the text are read (``cleaned`` passes other columns through).
+gives an empty result; only the id and the text are read (``cleaned`` passes other columns through, whatever
+their names). Lines and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,16 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codexa.llm.linking import link_classes
 from codexa.llm.quality import unused
-from codexa.llm.store import keep
-from codexa.llm.text import ASCII_SPACE, U, gather, mix, runs, slices, span_hashes, texts
+from codexa.llm.store import drop, keep
+from codexa.llm.text import ASCII_SPACE, U, HashIndex, gather, mix, runs, slices, span_hashes, texts
 
 LEADING = 2
 MIN_DOCS = 5
 LONG, LONG_DOCS = 20, 2
 CONSTANT, CONSTANT_TOKENS = 0.8, 5
-#: Bits of the maps of leaves and lines that generalisation looks at.
-BITMAP = 1 << 23
+#: Different lines that a task remembers, so as to hand on a line's tokens once.
+REMEMBERED = 1 << 20
 NEWLINE = 10
 FIELD = U(0xF1E1D)
 NO_ID = -(1 << 63)
@@ -46,17 +48,8 @@ MARKS = np.zeros(256, bool)
 MARKS[[*range(48, 58), ord("@")]] = True
 
 
-def row_hashes(ids: pa.Array, same: np.ndarray) -> np.ndarray:
-    """The identity of each row, from its id and its text's hash, the same at every reading."""
-    own = np.asarray(ids.cast(pa.int64()).fill_null(NO_ID)).astype(np.int64).astype(U)
-    return mix(same + mix(own)).astype(np.int64)
-
-
 def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All lines with tokens: text, number, leaf, full hash, tokens and where they begin; ``fresh``: a text's first line of that hash.
-
-    ``same`` are the hashes of the texts.
-    """
+    """All lines with tokens: text, number, leaf, full hash, tokens and where they begin; ``same`` are the hashes of the texts."""
     starts, ends, _ = runs(~ASCII_SPACE[flat], offsets)
     hashes = span_hashes(flat, np.concatenate([offsets[:-1], starts]), np.concatenate([offsets[1:], ends]))
     same, token = hashes[: len(offsets) - 1], hashes[len(offsets) - 1 :]
@@ -78,136 +71,116 @@ def parse(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     token = np.where(field & ~mostly, FIELD, token)
     full = span_hashes(token, first, last)
     leaf = mix(span_hashes(token, first, first + np.minimum(n, LEADING)) + mix(n.astype(U)))
-    own = text[first]
-    fresh = np.zeros(len(own), bool)
-    if len(own):
-        order = np.lexsort((full, own))
-        o, f = own[order], full[order]
-        fresh[order] = np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])])
-    return {"text": own, "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token, "fresh": fresh, "same": same}
+    return {"text": text[first], "number": number[first], "n": n, "full": full, "leaf": leaf, "first": first, "token": token, "same": same}
+
+
+def fields_of(n: np.ndarray) -> np.ndarray:
+    """How many places of lines of ``n`` tokens may differ."""
+    return np.floor(n * (1 - CONSTANT) + 1e-9).astype(np.int64)
+
+
+def segments(got: dict[str, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments of the lines ``own``, and how many each has."""
+    n = got["n"][own]
+    count = fields_of(n) + 1
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    size, parts, base = (np.repeat(x, count) for x in (n - LEADING, count, got["first"][own] + LEADING))
+    content = span_hashes(got["token"], base + k * size // parts, base + (k + 1) * size // parts)
+    return mix(content + mix(np.repeat(got["leaf"][own], count) + k.astype(U))), count
+
+
+KIND = "id long, same long, number int, n int, full long, keys array<long>, tokens binary"
 
 
 def lines_of(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(row, id, same, number, n, leaf, full, fresh)``, a row for each line with tokens; ``same`` is the text's hash.
+    """``(id, same, number, n, full, keys, tokens)``, a row for each line with tokens; ``same`` is the text's hash.
 
-    A further row for each document has number -1 and the number of its lines as ``n``.
+    Segment keys and tokens (16-bit hashes) are on one row for each different line that a task meets. A further row for
+    each document has number -1 and the number of its lines as ``n``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "id", "same", "number", "n", "leaf", "full", "fresh"]
-        long = lambda a: pa.array(a.astype(np.int64))
+        names = [c.split()[0] for c in KIND.split(", ")]
+        long, short = (lambda a: pa.array(a.astype(np.int64))), (lambda a: pa.array(a.astype(np.int32)))
+        seen = HashIndex()
         for part in slices(batches, text):
+            if seen.n > REMEMBERED:
+                seen = HashIndex()
             flat, offsets = texts(part[text])
             got = parse(flat, offsets)
-            own, same = got["text"], got["same"]
-            ids, rows = part[key].cast(pa.int64()), row_hashes(part[key], same)
-            yield pa.RecordBatch.from_arrays([long(rows[own]), ids.take(long(own)), long(same[own]), pa.array(got["number"].astype(np.int32)), long(got["n"]), long(got["leaf"]), long(got["full"]), pa.array(got["fresh"])], names)
+            ids, same, own = part[key].cast(pa.int64()), got["same"], got["text"]
+            able = np.flatnonzero(got["n"] >= CONSTANT_TOKENS)
+            new = np.sort(able[seen.number(got["full"][able])[1]]) if able.size else able
+            hashes, count = segments(got, new) if new.size else (np.zeros(0, U), new)
+            size = np.zeros(len(own), np.int64)
+            size[new] = count
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), long(hashes))
+            size[new] = got["n"][new]
+            data = (got["token"][gather(got["first"][new], got["n"][new])] >> U(48)).astype("<u2")
+            tokens = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], 2 * np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([ids.take(long(own)), long(same[own]), short(got["number"]), short(got["n"]), long(got["full"]), keys, tokens], names)
             breaks = np.concatenate([[0], np.cumsum(flat == NEWLINE)])
             none = lambda kind: pa.nulls(part.num_rows, kind)
-            yield pa.RecordBatch.from_arrays([long(rows), ids, long(same), pa.array(np.full(part.num_rows, -1, np.int32)), long(breaks[offsets[1:]] - breaks[offsets[:-1]] + 1), none(pa.int64()), none(pa.int64()), none(pa.bool_())], names)
-
-    return docs.select(key, text).mapInArrow(run, "row long, id long, same long, number int, n long, leaf long, full long, fresh boolean")
+            yield pa.RecordBatch.from_arrays([ids, long(same), short(np.full(part.num_rows, -1)), short(breaks[offsets[1:]] - breaks[offsets[:-1]] + 1), none(pa.int64()), none(pa.list_(pa.int64())), none(pa.binary())], names)
 
+    return docs.select(key, text).mapInArrow(run, KIND).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
 
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A map of ``BITMAP`` bits of the keys that a column has; at most that many numbers reach the driver."""
-    bits = keys.select(F.col(column).bitwiseAND(BITMAP - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    out = np.zeros(BITMAP, bool)
-    out[bits] = True
-    return np.packbits(out)
 
+def prepared(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2")
 
-def segments_of(docs: DataFrame, leaves: np.ndarray, text: str) -> DataFrame:
-    """``(leaf, full, segment, hash)`` of the lines in leaves of the bitmap, each once.
 
-    Of a line with v variable fields at most, one of v + 1 segments is constant.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(leaves)
-        for part in slices(batches, text):
-            got = parse(*texts(part[text]))
-            own = np.flatnonzero(got["fresh"] & (got["n"] >= CONSTANT_TOKENS) & (bitmap[got["leaf"] & U(BITMAP - 1)] > 0))
-            if not own.size:
-                continue
-            n = got["n"][own]
-            count = np.floor(n * (1 - CONSTANT) + 1e-9).astype(np.int64) + 1
-            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            size, parts, base = (np.repeat(x, count) for x in (n - LEADING, count, got["first"][own] + LEADING))
-            hashes = span_hashes(got["token"], base + k * size // parts, base + (k + 1) * size // parts)
-            spread = lambda a: pa.array(np.repeat(a[own], count).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), pa.array(k.astype(np.int32)), pa.array(hashes.astype(np.int64))], ["leaf", "full", "segment", "hash"])
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two lines of one leaf agree in enough places."""
+    return len(a) == len(b) and bool((a[:LEADING] == b[:LEADING]).all()) and int((a != b).sum()) <= int(fields_of(np.array(len(a))))
 
-    rows = docs.select(text).mapInArrow(run, "leaf long, full long, segment int, hash long")
-    return rows.distinct()
 
-
-def places_of(docs: DataFrame, lines: np.ndarray, text: str) -> DataFrame:
-    """``(leaf, full, n, place, token)`` of the lines of the bitmap, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.unpackbits(lines)
-        for part in slices(batches, text):
-            got = parse(*texts(part[text]))
-            own = np.flatnonzero(got["fresh"] & (bitmap[got["full"] & U(BITMAP - 1)] > 0))
-            if not own.size:
-                continue
-            n = got["n"][own]
-            at = gather(got["first"][own], n)
-            spread = lambda a: pa.array(np.repeat(a[own], n).astype(np.int64))
-            place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([spread(got["leaf"]), spread(got["full"]), spread(got["n"]), pa.array(place.astype(np.int32)), pa.array((got["token"][at] >> U(32)).astype(np.int64))], ["leaf", "full", "n", "place", "token"])
-
-    rows = docs.select(text).mapInArrow(run, "leaf long, full long, n long, place int, token long")
-    return rows.distinct()
+def alike_among(data: list[bytes], component: np.ndarray, side: np.ndarray, crossed: bool) -> list[tuple[int, int]]:
+    """Links (places of two lines) that join all components that alike lines join; if ``crossed``, of different sides only."""
+    label, out, sizes = component.copy(), [], np.array([len(d) for d in data])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        tokens = np.stack([prepared(data[i]) for i in at])
+        most = fields_of(np.array(size // 2))
+        for k, i in enumerate(at):
+            others = np.arange(k + 1, len(at))
+            others = others[(label[at[others]] != label[i]) & (~np.bool_(crossed) | (side[at[others]] != side[i]))]
+            differ = tokens[others] != tokens[k]
+            for j in at[others[(differ.sum(axis=1) <= most) & ~differ[:, :LEADING].any(axis=1)]]:
+                if label[j] != label[i]:
+                    out.append((int(i), int(j)))
+                    label[label == label[j]] = label[i]
+    return out
 
 
 def enough(docs: str = "docs", n: str = "n") -> F.Column:
     return F.col(docs) >= F.when(F.col(n) >= LONG, LONG_DOCS).otherwise(MIN_DOCS)
 
 
-def recurring(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``(full, template)`` of the lines to drop; ``lines`` must be fixed."""
-    real = lines.filter("number >= 0")
-    fulls = keep(real.filter("fresh").select("leaf", "full", "n", "same").distinct().groupBy("leaf", "full").agg(F.count("*").alias("docs"), F.first("n").alias("n")), "line-hashes")
-    # leaves in which generalisation could matter: several different lines and enough documents
-    leaves = fulls.filter(F.col("n") >= CONSTANT_TOKENS).groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.first("n").alias("n")).filter(enough("all") & (F.col("kinds") > 1))
-    leaves = keep(leaves.select("leaf"), "leaves")
-    inside = fulls.join(leaves, "leaf", "left_semi").select("full", "docs", "n")
-    segments = keep(segments_of(docs, bitmap_of(leaves, "leaf"), text).join(inside, "full"), "segments")
-    # lines of one template share a segment, so one that a single line has tells nothing
-    shared = segments.groupBy("leaf", "segment", "hash").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"), F.first("n").alias("n")).filter(enough("all") & (F.col("kinds") > 1)).select("leaf", "segment", "hash")
-    alike = keep(segments.join(shared, ["leaf", "segment", "hash"]).select("full", "docs").distinct(), "alike")
-    places = keep(places_of(docs, bitmap_of(alike, "full"), text).join(alike, "full"), "places")
-    support = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.first("n").alias("n")).filter(enough("support"))
-    constant = places.join(support.select("leaf", "place", "token"), ["leaf", "place", "token"])
-    general = constant.groupBy("leaf", "full").agg(F.count("*").alias("kept"), F.first("n").alias("n"), F.sum(F.xxhash64("place", "token").cast("decimal(38,0)")).alias("mark"))
-    general = general.filter((F.col("kept") >= CONSTANT * F.col("n")) & (F.col("kept") < F.col("n"))).select("full", F.xxhash64("leaf", "kept", "mark").alias("template"), "n")
-    # a line's own hash is its template if that recurs; else its generalised form, if that does
-    exact = fulls.filter(enough()).select("full", F.col("full").alias("template"))
-    # texts count once for each generalised template, whatever variants they have
-    spread = real.filter("fresh").join(general.select("full", "template"), "full").select("template", "same", "n").distinct()
-    often = spread.groupBy("template").agg(F.count("*").alias("docs"), F.first("n").alias("n")).filter(enough()).select("template")
-    wide = general.join(often, "template").select("full", "template").join(exact.select("full"), "full", "left_anti")
-    return exact.unionByName(wide)
-
-
 def dropped_lines(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """All lines, and ``(row, numbers)`` of the lines that go."""
+    """All documents ``(id, n_lines, same)``, and ``(id, same, numbers)`` of the lines that go; both are kept."""
     lines = keep(lines_of(docs, text, key), "lines")
-    real = lines.filter("number >= 0").withColumn("place", F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row"))
-    hit = keep(real.join(keep(recurring(lines, docs, text), "templates"), "full").select("row", "place", "number", "template"), "hits")
-    first = hit.groupBy("template").agg(F.min("place").alias("first"))
-    gone = hit.join(first, "template").filter("place <> first")
-    return lines, gone.groupBy("row").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    first = lines.filter(F.size("keys") > 0)
+    groups = link_classes(first.select(F.explode("keys").alias("key"), F.col("full").alias("id")), first.select(F.col("full").alias("id"), F.col("tokens").alias("data")), prepared, alike, alike_among)
+    real = lines.filter("number >= 0").select("id", "same", "number", "n", "full")
+    named = real.join(groups.hint("merge"), F.col("full") == F.col("node"), "left").select("id", "same", "number", "n", F.coalesce("component", "full").alias("template"))
+    often = named.groupBy("template", "same").agg(F.min("n").alias("n")).groupBy("template").agg(F.count("*").alias("docs"), F.min("n").alias("n")).filter(enough()).select("template")
+    hit = keep(named.join(often.hint("merge"), "template", "left_semi").select("id", "same", "number", "template"), "hits")
+    least = hit.groupBy("template").agg(F.min("id").alias("least"))
+    mine = hit.join(least.hint("merge"), "template").filter("id = least").groupBy("template").agg(F.min("same").alias("its"), F.min("id").alias("least"))
+    gone = hit.join(mine.hint("merge"), "template").filter((F.col("id") != F.col("least")) | (F.col("same") != F.col("its")))
+    gone = keep(gone.groupBy("id", "same").agg(F.array_sort(F.collect_set("number")).alias("numbers")), "gone")
+    heads = keep(lines.filter("number = -1").select("id", "same", F.col("n").cast("long").alias("n_lines")), "heads")
+    drop(lines, groups, hit)
+    return heads, gone
 
 
 def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, n_lines, n_dropped, dropped_lines)``, one row for each row of ``docs``."""
-    lines, gone = dropped_lines(docs, text, key)
-    heads = lines.filter("number = -1").select("row", F.col("id").alias(key), F.col("n").alias("n_lines"))
+    heads, gone = dropped_lines(docs, text, key)
     numbers = F.coalesce("numbers", F.array().cast("array<int>"))
-    return heads.join(gone, "row", "left").select(key, "n_lines", F.size(numbers).cast("long").alias("n_dropped"), numbers.alias("dropped_lines"))
+    real = F.when(F.col("id") != NO_ID, F.col("id")).alias(key)
+    return heads.join(gone.hint("merge"), ["id", "same"], "left").select(real, "n_lines", F.size(numbers).cast("long").alias("n_dropped"), numbers.alias("dropped_lines"))
 
 
 def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
@@ -215,14 +188,15 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: st
 
     Rows that lose no line stay as they are; ``length``, if there is such a column, is counted anew.
     """
-    _, gone = dropped_lines(docs, text, key)
-    row, numbers, names = unused(docs, "row"), unused(docs, "numbers"), docs.columns
-    known = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())])
+    heads, gone = dropped_lines(docs, text, key)
+    drop(heads)
+    own, same, numbers, names = unused(docs, "own_id"), unused(docs, "same"), unused(docs, "numbers"), docs.columns
+    known = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType()), T.StructField(same, T.LongType())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             flat, offsets = texts(part[text])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_hashes(part[key], span_hashes(flat, offsets[:-1], offsets[1:])))], [*names, row])
+            yield pa.RecordBatch.from_arrays([*part.columns, part[key].cast(pa.int64()).fill_null(NO_ID), pa.array(span_hashes(flat, offsets[:-1], offsets[1:]).astype(np.int64))], [*names, own, same])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -239,8 +213,8 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: st
                 columns[length] = pa.array(fresh, part[length].type)
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns]).filter(pa.array(stay))
 
-    marked = docs.mapInArrow(name, known).join(gone.select(F.col("row").alias(row), F.col("numbers").alias(numbers)), row, "left")
-    return marked.mapInArrow(cut, docs.schema)
+    marked = docs.mapInArrow(name, known).join(gone.select(F.col("id").alias(own), F.col("same").alias(same), F.col("numbers").alias(numbers)).hint("merge"), [own, same], "left")
+    return marked.select(*(F.col(f"`{c}`") for c in names), numbers).mapInArrow(cut, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

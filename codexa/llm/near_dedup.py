@@ -1,49 +1,49 @@
 """Near-duplicate classes by Order MinHash and banded alignment (operator 9).
 
 1. Words are lower-cased runs of letters and digits; shingles are ``SHINGLE`` words. Texts of equal
-   words become one node with members, so copies cost nothing further on.
+   words become one node, so copies cost nothing further on: one shuffle of identities (128 bits of
+   SHA-256), ids and keys. Words stay where the scan wrote them.
 2. ``SKETCHES`` keys for each node: the two least occurrence-numbered shingles under one hash
    function, in text order. A bucket is a key and a band of shingle counts; bands overlap so that any
    two texts whose counts allow the similarity share one.
-3. Each bucket's members are verified against the bucket's least node, which settles groups of copies.
-   Buckets whose other members are then still in several components are verified in full: in blocks of
-   about ``BLOCK`` members, every pair of two components, until the block is one. A bound from counts of
+3. ``linking`` compares the nodes of a bucket, first with the bucket's least node, then, where that leaves
+   several components, all others in blocks; words are fetched for nodes that share a bucket only. A bound from counts of
    ``BINS`` shingle classes spares most pairs the alignment; it never falls below the similarity.
 4. Verification aligns the two shingle sequences inside the diagonal band outside of which the
-   similarity can't be reached. similarity = aligned / (n1 + n2 - aligned) >= ``SIMILARITY``. Members
-   of one leader are salted over tasks; a task holds one leader's words at a time.
+   similarity can't be reached. similarity = aligned / (n1 + n2 - aligned) >= ``SIMILARITY``. Words are
+   16-bit hashes there: a changed word looks unchanged with probability 1 in 65,536.
 5. Classes are connected components of verified links.
 
 Defined results: null text is empty text; texts without words are alike only when identical; texts of
 fewer words than a shingle are one shingle; a class's id is its least document id (null ids count
 as least); repeated rows are members like any other; an empty table gives an empty result; only the id
-and the text are read (``deduplicated`` passes all other columns through).
+and the text are read (``deduplicated`` passes all other columns through, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexa.llm.components import components
 from codexa.llm.fingerprints import order_minhash
-from codexa.llm.store import keep, partitions
-from codexa.llm.text import LOWER, U, gather, runs, slices, span_hashes, texts
+from codexa.llm.linking import link_classes
+from codexa.llm.quality import unused
+from codexa.llm.store import drop, keep
+from codexa.llm.text import LOWER, U, runs, slices, span_hashes, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 10
-#: Members of one leader that one salt gets.
-SALT_ROWS = 64
-#: Members of a block of an open bucket, and classes of shingles that are counted for the bound.
-BLOCK = 512
+#: Classes of shingles that are counted for the bound.
 BINS = 1024
 NO_ID = -(1 << 63)
 WORD_BYTE = np.zeros(256, bool)
@@ -66,42 +66,55 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def identity(content: bytes, words: np.ndarray) -> str:
+def identity(content: bytes, words: np.ndarray) -> bytes:
     """Equal for texts of equal words; texts without words are told apart by their bytes."""
-    return hashlib.sha256(words.tobytes() if len(words) else b"-" + content).hexdigest()[:32]
+    return hashlib.sha256(words.tobytes() if len(words) else b"-" + content).digest()[:16]
+
+
+def identities(part: pa.RecordBatch, text: str) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """Word hashes of each text, and its identity as two numbers."""
+    flat, offsets = texts(part[text])
+    hashes, bounds = word_hashes(flat, offsets)
+    words = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    both = b"".join(identity(flat[offsets[i] : offsets[i + 1]].tobytes(), own) for i, own in enumerate(words))
+    halves = np.frombuffer(both, "<i8").reshape(-1, 2)
+    return words, [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+
+
+KEYS = [f"k{i}" for i in range(SKETCHES)]
 
 
 def described(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(id, sig, n, words, keys)``: words as 16-bit hashes, for alignment; keys for buckets."""
+    """``(row, id, high, low, n, words, k0, k1, ...)``: words as 16-bit hashes, for alignment; keys for buckets.
+
+    ``row`` numbers rows without clashes; it is fixed once the table is written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for part in slices(batches, text):
-            flat, offsets = texts(part[text])
-            hashes, bounds = word_hashes(flat, offsets)
-            sig, count, words, keys = [], [], [], []
-            for at, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                own = hashes[a:b]
+            every, sig = identities(part, text)
+            count, words, keys = [], [], []
+            for own in every:
                 rows = shingles(own)
-                sig.append(identity(flat[offsets[at] : offsets[at + 1]].tobytes(), own))
                 count.append(len(rows))
                 words.append((own >> U(48)).astype("<u2").tobytes())
-                keys.append((order_minhash(rows, SKETCHES) + np.arange(SKETCHES, dtype=U)).astype(np.int64) if b - a > SHINGLE else [])
-            yield pa.RecordBatch.from_arrays([part[key].cast(pa.int64()), pa.array(sig), pa.array(count, pa.int64()), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sig", "n", "words", "keys"])
+                keys.append(order_minhash(rows, SKETCHES).astype(np.int64) if len(own) > SHINGLE else None)
+            columns = [pa.array([None if k is None else int(k[i]) for k in keys], pa.int64()) for i in range(SKETCHES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part[key].cast(pa.int64()), *sig, pa.array(count, pa.int64()), pa.array(words, pa.binary()), *columns], ["row", "id", "high", "low", "n", "words", *KEYS])
+            row += part.num_rows
 
-    return docs.select(key, text).mapInArrow(run, "id long, sig string, n long, words binary, keys array<long>")
+    return docs.select(key, text).mapInArrow(run, "row long, id long, high long, low long, n long, words binary, " + ", ".join(f"{k} long" for k in KEYS))
 
 
-def signatures(docs: DataFrame, text: str, name: str) -> DataFrame:
+def signatures(docs: DataFrame, text: str, high: str, low: str) -> DataFrame:
     """``docs`` with the identity of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            flat, offsets = texts(part[text])
-            hashes, bounds = word_hashes(flat, offsets)
-            sig = [identity(flat[offsets[i] : offsets[i + 1]].tobytes(), hashes[bounds[i] : bounds[i + 1]]) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig)], [*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, *identities(part, text)[1]], [*part.schema.names, high, low])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(high, T.LongType()), T.StructField(low, T.LongType())]))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -130,62 +143,62 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     own, other = a[head : n - tail].tolist(), b[head : m - tail].tolist()
     aligned = head + tail
     if own:
-        places: dict[int, int] = {}
-        for j, x in enumerate(other):
-            places[x] = places.get(x, 0) | 1 << j
-        full = (1 << len(other)) - 1
-        window = (1 << (2 * band + 1)) - 1
-        row = full
-        for i, x in enumerate(own):
-            at = places.get(x)
-            if at is not None:
-                at &= window << (i - band) if i >= band else window >> (band - i)
-                hit = row & at
-                row = ((row + hit) | (row - hit)) & full
-        aligned += len(other) - row.bit_count()
+        aligned += in_band(own, other, band)
     return aligned / (both - aligned) if aligned >= needed else 0.0
 
 
+def in_band(own: list[int], other: list[int], band: int) -> int:
+    """Length of the longest common subsequence of places that are at most ``band`` apart.
+
+    One bit for each place of the band, 0 where the length grows; the window moves along with the rows, so a row costs
+    the band and not the text. Bits that leave the window are final, those that enter are still 1.
+    """
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(other):
+        places.setdefault(x, []).append(j)
+    width = 2 * band + 1
+    full = row = (1 << width) - 1
+    base, out = -band, 0
+    for i, x in enumerate(own):
+        at = places.get(x)
+        if at is None:
+            continue
+        low = i - band
+        marks = 0
+        for j in at[bisect_left(at, low) :]:
+            if j > i + band:
+                break
+            marks |= 1 << (j - low)
+        if not marks:
+            continue
+        if (moved := low - base) > 0:
+            gone = row & ((1 << moved) - 1) if moved < width else row
+            out += min(moved, width) - gone.bit_count()
+            row = (row >> moved) | (full ^ (full >> moved))
+            base = low
+        hit = row & marks
+        row = ((row + hit) | (row - hit)) & full
+    return out + width - row.bit_count()
+
+
 def band_of(n: F.Column, similarity: float) -> F.Column:
     """The bands of a shingle count: powers of two, and the next one where a partner may be in it."""
     own = F.floor(F.log2(n)).cast("int")
     return F.array_distinct(F.array(own, F.floor(F.log2(n / similarity)).cast("int")))
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (id, leader) that are similar."""
-    spark = pairs.sparkSession
-    salts = pairs.groupBy("leader").agg(F.count("*").alias("members"))
-    salts = salts.select("leader", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
-    member = pairs.select("id", "leader", F.col("id").alias("member"))
-    member = member.join(salts, "leader").select("id", "leader", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(False).alias("is_leader"))
-    leader = salts.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(True).alias("is_leader"))
-    rows = member.unionByName(leader).join(words, "id").select("leader", "salt", "is_leader", "id", "words")
+def prepared(data: bytes) -> np.ndarray:
+    """Shingles of kept words."""
+    return shingles(np.frombuffer(data, "<u2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, base = None, None
-        for part in slices(batches, "words"):
-            ids, leaders = [], []
-            for lead, salt, is_leader, own, data in zip(*(part[c].to_pylist() for c in ("leader", "salt", "is_leader", "id", "words")), strict=True):
-                mark = shingles(np.frombuffer(data, "<u2"))
-                if is_leader:
-                    now, base = (lead, salt), mark
-                elif now == (lead, salt) and similarity(base, mark, least) >= least:
-                    ids.append(own)
-                    leaders.append(lead)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(leaders)], ["id", "leader"])
-
-    dealt = rows.repartition(partitions(spark), "leader", "salt").sortWithinPartitions("leader", "salt", F.desc("is_leader"))
-    return dealt.mapInArrow(run, "id long, leader long")
-
-
-def alike(marks: list[np.ndarray], component: np.ndarray, side: np.ndarray, crossed: bool, least: float) -> list[tuple[int, int]]:
+
+def similar_among(data: list[bytes], component: np.ndarray, side: np.ndarray, crossed: bool, least: float) -> list[tuple[int, int]]:
     """Links (places of two members) that join all of the members' components that similar pairs join.
 
-    ``marks`` are 16-bit words; if ``crossed``, only pairs of different sides count. Pairs of one component
+    ``data`` are 16-bit words; if ``crossed``, only pairs of different sides count. Pairs of one component
     are not looked at.
     """
+    marks = [np.frombuffer(d, "<u2") for d in data]
     n = np.array([max(len(m) - SHINGLE + 1, min(len(m), 1)) for m in marks])
     bins = np.zeros((len(marks), BINS), np.int32)
     for k, m in enumerate(marks):
@@ -207,79 +220,46 @@ def alike(marks: list[np.ndarray], component: np.ndarray, side: np.ndarray, cros
     return out
 
 
-def settled(rest: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Links (id, leader) among the members of each bucket of ``rest`` (key, id, component)."""
-    spark = rest.sparkSession
-    open_ = rest.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
-    # buckets of the same members are verified once
-    open_ = open_.filter("low <> high").groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = rest.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("key", "id", "component", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    rows = member.join(words, "id").select("key", "low", "high", "side", "id", "component", "words")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def links() -> pa.RecordBatch:
-            ids, component, side = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
-            got = alike([np.frombuffer(h[3], "<u2") for h in held], component, side, now[1] != now[2], least)
-            return pa.RecordBatch.from_arrays([pa.array([int(ids[i]) for i, _ in got], pa.int64()), pa.array([int(ids[j]) for _, j in got], pa.int64())], ["id", "leader"])
-
-        for part in slices(batches, "words"):
-            for key, low, high, side, own, component, data in zip(*(part[c].to_pylist() for c in ("key", "low", "high", "side", "id", "component", "words")), strict=True):
-                if now != (key, low, high):
-                    if held:
-                        yield links()
-                    now, held = (key, low, high), []
-                held.append((own, component, side, data))
-        if held:
-            yield links()
-
-    dealt = rows.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(run, "id long, leader long")
-
-
-def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """``(id, sig, class_id)``, one row for each row of ``docs``; ids are never null (``NO_ID``)."""
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``(id, high, low)`` of each row of ``docs`` and ``(high, low, class_id)`` of each node; ids are never null (``NO_ID``). Both are kept."""
     table = keep(described(docs, text, key).withColumn("id", F.coalesce("id", F.lit(NO_ID))), "words")
-    # one row for each node, gathered before the shuffle: copies of a text have the same words
-    own = table.groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "words", "keys")))
-    own = keep(own.withColumn("node", F.xxhash64("sig")), "nodes")
-    nodes = own.select("sig", "rep", "node")
-    words = own.select(F.col("node").alias("id"), "words")
-    buckets = own.select(F.col("node").alias("id"), F.explode("keys").alias("key"), band_of(F.col("n"), least).alias("bands"))
-    left = keep(buckets.select("id", "key", F.explode("bands").alias("band")).select("id", F.xxhash64("key", "band").alias("key")), "buckets")
-    lead = keep(left.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "leaders")
-    met = keep(left.join(lead, "key").filter("id <> leader"), "met")
-    links = keep(verified(keep(met.select("id", "leader").distinct(), "pairs"), words, least), "links")
-    # a leader is settled with all of its bucket; the others are with those of their own component
-    known = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    rest = met.filter("members > 2").join(known, met["id"] == known["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    links = links.unionByName(keep(settled(keep(rest, "rest"), words, least), "links"))
-    classes = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    tied = nodes.join(classes, nodes["node"] == classes["node"], "left").select("sig", "rep", F.coalesce("component", nodes["node"]).alias("component"))
+    # copies of a text have the same count and keys, so any of them will do
+    nodes = keep(table.groupBy("high", "low").agg(F.min("row").alias("node"), F.min("id").alias("rep"), *(F.min(c).alias(c) for c in ("n", *KEYS))), "nodes")
+    bands = nodes.filter("k0 is not null").select("node", F.array(*KEYS).alias("keys"), F.explode(band_of(F.col("n"), least)).alias("band"))
+    buckets = bands.select("node", "band", F.posexplode("keys").alias("place", "own")).select(F.xxhash64("place", "own", "band").alias("key"), F.col("node").alias("id"))
+    content = table.select(F.col("row").alias("id"), F.col("words").alias("data"))
+    classes = link_classes(buckets, content, prepared, lambda a, b: similarity(a, b, least) >= least, lambda *block: similar_among(*block, least))
+    tied = nodes.select("high", "low", "rep", F.col("node").alias("own")).join(classes.hint("merge"), F.col("own") == F.col("node"), "left")
+    tied = tied.select("high", "low", "rep", F.coalesce("component", "own").alias("component"))
     least_id = tied.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = keep(tied.join(least_id, "component").select("sig", "class_id"), "classes")
-    return table.select("id", "sig").join(named, "sig")
+    named = keep(tied.join(least_id.hint("merge"), "component").select("high", "low", "class_id"), "classes")
+    rows = keep(table.select("id", "high", "low"), "rows")
+    drop(table, nodes, classes)
+    return rows, named
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``(key, class_id, class_size, kept)``, one row for each row of ``docs``."""
-    classes = keep(near_classes(docs, text, key, least), "members")
+    rows, named = near_classes(docs, text, key, least)
+    classes = keep(rows.join(named.hint("merge"), ["high", "low"]).select("id", "class_id"), "members")
+    drop(rows, named)
     # written first: then nothing but the join itself needs a large class together, and Spark splits it
     sizes = keep(classes.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return classes.join(sizes, "class_id").select(real("id").alias(key), real("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+    return classes.join(sizes.hint("merge"), "class_id").select(real("id").alias(key), real("class_id").alias("class_id"), "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class, the one of the least id, with all its columns."""
-    classes = near_classes(docs, text, key, least)
-    kept = classes.filter(F.col("id") == F.col("class_id")).groupBy("class_id").agg(F.min("sig").alias("kept_sig")).select(F.col("class_id").alias("kept_id"), "kept_sig")
-    marked = signatures(docs, text, "kept_sig_").withColumn("kept_id_", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
-    one = marked.join(kept, (F.col("kept_id_") == F.col("kept_id")) & (F.col("kept_sig_") == F.col("kept_sig")), "left_semi")
-    return one.dropDuplicates(["kept_id_", "kept_sig_"]).select(docs.columns)
+    rows, named = near_classes(docs, text, key, least)
+    own, high, low = (unused(docs, c) for c in ("kept_id", "kept_high", "kept_low"))
+    # of several texts of a class's least id, the one of the least identity
+    first = rows.join(named.hint("merge"), ["high", "low"]).filter(F.col("id") == F.col("class_id")).select("class_id", "high", "low").distinct()
+    first = first.groupBy("class_id").agg(F.min(F.struct("high", "low")).alias("sig"))
+    kept = keep(first.select(F.col("class_id").alias(own), F.col("sig.high").alias(high), F.col("sig.low").alias(low)), "kept")
+    drop(rows, named)
+    marked = signatures(docs, text, high, low).withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+    return marked.join(kept.hint("merge"), [own, high, low], "left_semi").dropDuplicates([own, high, low]).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

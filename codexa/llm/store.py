@@ -1,37 +1,5 @@
-"""Where intermediate tables go: the folder that driver and executors share.
+"""Where the operators' intermediate tables go: as the library's do, in the folder that driver and executors share."""
 
-The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in unit
-tests, a folder below the SQL warehouse is used.
-"""
+from codexa.sources.store import drop, keep, partitions, shared_dir
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
-    set_dir = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_codexa"
-    return set_dir.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    It cuts lineage, lets several readers use one computation, and survives the loss of any
-    executor. The folder is unique; a cluster's retention rule for its checkpoint folder
-    removes it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codexa-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["drop", "keep", "partitions", "shared_dir"]

@@ -106,19 +106,40 @@ def test_fingerprints_over_many_ranges(spark, tiny_docs):
         assert 0 <= got[own]["near_next"] <= got[own]["near_edited"] <= 1 or text == after or len(text) < 40
 
 
+def brute_order_minhash(hashes, sketches, size):
+    """The definition in plain Python: label every (k-mer, number of its occurrence), take the least, put them in text order."""
+    one = lambda x: int(mix(np.array([x % (1 << 64)], np.uint64))[0])
+    seen, labels = Counter(), []
+    for h in hashes.tolist():
+        labels.append(one(h + seen[h] * 0xD1342543DE82EF95))
+        seen[h] += 1
+    out = []
+    for j in range(sketches):
+        value = [((x >> 32) * int(fingerprints.FACTORS[j]) + int(fingerprints.SHIFTS[j])) % (1 << 32) for x in labels]
+        entry = 0
+        for r, i in enumerate(sorted(sorted(range(len(labels)), key=lambda i: value[i])[:size])):
+            entry = one(entry * 31 + labels[i] + r + 1)
+        out.append(entry)
+    return out
+
+
 def test_order_minhash_is_the_least_labelled_kmers():
-    text = "abcabcabdabc" * 3
-    hashes = fingerprints.kmers(fingerprints.code_units(text), 3)
-    label, position = fingerprints.labelled(hashes)
-    assert len(set(label.tolist())) == len(label)
-    got = fingerprints.order_minhash(hashes, 5, 2)
-    for j in range(5):
-        value = (label >> np.uint64(32)).astype(np.uint32) * fingerprints.FACTORS[j] + fingerprints.SHIFTS[j]
-        two = sorted(np.argsort(value)[:2], key=lambda i: position[i])
-        entry = np.zeros(1, np.uint64)
-        for r, i in enumerate(two):
-            entry = mix(entry * np.uint64(31) + label[i : i + 1] + np.uint64(r + 1))
-        assert got[j] == entry[0]
+    rng = np.random.default_rng(3)
+    for text in ["abcabcabdabc" * 3, "abcd", "a" * 40, *("".join(rng.choice(list("abcdef "), n)) for n in (31, 32, 33, 300))]:
+        hashes = fingerprints.kmers(fingerprints.code_units(text), 3)
+        assert len(set(fingerprints.labelled(hashes).tolist())) == len(hashes)
+        assert fingerprints.order_minhash(hashes, 5, 2).tolist() == brute_order_minhash(hashes, 5, 2)
+
+
+@pytest.mark.parametrize("size", [120, 255, 256, 257, 1020, 1032, 2045, 4100, 8190, 16384])
+def test_fingerprints_do_not_depend_on_length(size):
+    """A few characters more or less change little, on whichever side of a power of two the counts lie."""
+    text = "".join(np.random.default_rng(size).choice(list("abcdefghij klm"), size + 40))
+    own = fingerprints.fingerprint(text[:size])
+    for more in (1, 4, 12):
+        least = 1 - 6 * (more + fingerprints.K) / size
+        assert fingerprints.likeness(own, fingerprints.fingerprint(text[: size + more])) >= max(least, 0.5) - 0.1
+    assert fingerprints.likeness(own, fingerprints.fingerprint(text[size:] * (size // 40 + 1))) < 0.2
 
 
 # -- 2 and 8 -------------------------------------------------------------------------------------
@@ -236,6 +257,73 @@ def test_line_dedup_counts_every_distinct_document(spark):
     assert got == {0: []} | {k: [0] for k in range(1, 6)} | {10: []} | {20 + k: [1] for k in range(5)} | {30 + k: [] for k in range(3)}
 
 
+def brute_line_dedup(rows):
+    """The definition, over all pairs of lines: row -> numbers of the lines that go."""
+    lines = []
+    for own, text in rows:
+        for number, line in enumerate((text or "").split("\n")):
+            tokens = re.findall(r"[^\x09-\x0d ]+", line)
+            field = [bool(re.search(r"[0-9@]|://", t)) for t in tokens]
+            if tokens:
+                lines.append((own, text or "", number, tuple("<*>" if f and 2 * sum(field) <= len(tokens) else t for t, f in zip(tokens, field, strict=True))))
+    kinds = sorted({x[3] for x in lines})
+    parent = {k: k for k in kinds}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if len(a) == len(b) >= 5 and a[:2] == b[:2] and sum(x != y for x, y in zip(a, b, strict=True)) <= math.floor(len(a) * 0.2 + 1e-9):
+                parent[root(b)] = root(a)
+    by_template = {}
+    for own, text, number, tokens in lines:
+        by_template.setdefault(root(tokens), []).append((own, text, number))
+    gone = {(own, text or ""): set() for own, text in rows}
+    for template, own in by_template.items():
+        if len({t for _, t, _ in own}) >= (2 if len(template) >= 20 else 5):
+            first = min(i for i, _, _ in own)
+            for i, t, number in own:
+                if i != first:
+                    gone[i, t].add(number)
+    return {k: sorted(v) for k, v in gone.items()}
+
+
+def test_line_dedup_is_the_definition(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 3))
+    kinds = [[word() for _ in range(int(n))] for n in rng.integers(1, 60, 25)]
+    rows = []
+    for k in range(90):
+        own = []
+        for _ in range(int(rng.integers(0, 7))):
+            line = list(kinds[int(rng.integers(0, len(kinds)))])
+            for _ in range(int(rng.integers(0, 2 + len(line) // 6))):
+                line[int(rng.integers(0, len(line)))] = rng.choice([word(), "x1", "me@here", "a://b"])
+            own.append(" ".join(line))
+        rows.append((k, "\n".join(own)))
+    rows += [(100 + k, rows[k][1]) for k in range(0, 40, 3)] + [(7, rows[7][1])]
+    got = line_dedup.line_dedup(docs_of(spark, rows)).collect()
+    want = brute_line_dedup(rows)
+    texts_of = {}
+    for own, text in rows:
+        texts_of.setdefault(own, text)
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 100
+    assert {(r["doc_id"], texts_of[r["doc_id"]]): r["dropped_lines"] for r in got} == want
+
+
+def test_line_dedup_supports_from_different_documents(spark):
+    """Two long lines that differ in one field recur, whatever other documents share other places with them."""
+    words = lambda name, n: [f"{name}{chr(97 + i)}" for i in range(n)]
+    pair = words("p", 22)
+    rows = [(k, " ".join([*pair[:12], name, *pair[13:]])) for k, name in enumerate(["smith", "jones"])]
+    rows += [(10 + k, " ".join([*pair[:2], *(w if (i + k) % 3 == 0 else f"{w}q{chr(97 + k)}" for i, w in enumerate(pair[2:]))])) for k in range(7)]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got == {0: [], 1: [0]} | {10 + k: [] for k in range(7)}
+
+
 def test_line_dedup_on_odd_rows(spark, odd, none):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count()
@@ -446,6 +534,41 @@ def test_similarity_is_the_full_alignment():
     assert met > 30
 
 
+def test_near_keys_of_texts_of_mixed_length():
+    """Share of pairs of similarity 0.8 to 0.85 that have a key in common; counts lie on both sides of powers of two."""
+    rng = np.random.default_rng(12)
+    met = pairs = 0
+    for n in (30, 62, 66, 128, 250, 256, 512, 700, 1024, 1030, 2048):
+        for _ in range(60):
+            a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+            cut = int(n * rng.uniform(0.02, 0.19))
+            at = int(rng.integers(0, n - cut))
+            b = np.concatenate([a[:at], a[at + cut :]]) if rng.random() < 0.6 else np.concatenate([a[:at], rng.integers(0, 1 << 60, cut // 3).astype(np.uint64), a[at + cut // 3 :]])
+            s, t = near_dedup.shingles(a), near_dedup.shingles(b)
+            if near_dedup.similarity(s, t) >= 0.8:
+                pairs += 1
+                met += bool((near_dedup.order_minhash(s, near_dedup.SKETCHES) == near_dedup.order_minhash(t, near_dedup.SKETCHES)).any())
+    assert pairs > 300 and met / pairs >= 0.98
+
+
+def test_alignment_costs_its_band():
+    """Long texts: equal starts and ends, and a band of matches between."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 60, 40_000).astype(np.uint64)
+    b = np.where(rng.random(len(a)) < 0.05, a + np.uint64(1), a)
+    same = int((a == b).sum())
+    assert near_dedup.similarity(a, b) == pytest.approx(same / (2 * len(a) - same))
+
+
+def test_near_dedup_with_names_of_its_own(spark):
+    rows = [(1, "one text of some few words here"), (2, "one text of some few words here"), (3, "other words that none has yet")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("kept_id", "kept_sig", "kept_high", "kept_low", "kept_id_", "own_id", "same", "node", "data", "high", "low")})
+    got = near_dedup.deduplicated(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+    assert {r["kept_high"] for r in got.collect()} == {"kept_high"}
+    assert line_dedup.cleaned(docs).columns == docs.columns and line_dedup.cleaned(docs).count() == 3
+
+
 def test_near_dedup_of_odd_rows(spark, odd, none):
     assert near_dedup.near_dedup(odd).count() == odd.count()
     assert near_dedup.near_dedup(none).count() == near_dedup.deduplicated(none).count() == 0
@@ -474,6 +597,24 @@ def test_near_pairs_in_hot_buckets(spark):
     assert got == {k: k - k % 2 for k in range(80)}
 
 
+def test_near_pairs_in_narrowed_buckets(spark, monkeypatch):
+    """The same in buckets that count as very large: pairs share several keys, so narrowing keeps them together."""
+    from codexa.llm import linking
+
+    monkeypatch.setattr(linking, "BLOCK", 12)
+    rng = np.random.default_rng(11)
+    passage = [f"common{k}" for k in range(120)]
+    rows = []
+    for pair in range(40):
+        own = [f"own{pair}x{k}" for k in range(80)]
+        rows.append((2 * pair, " ".join(passage + own)))
+        own[int(rng.integers(3, 77))] = "changed"
+        rows.append((2 * pair + 1, " ".join(passage + own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, rows)).collect()}
+    assert all(got[k] in (k, k - k % 2) for k in range(80))
+    assert sum(got[k] == k - 1 for k in range(1, 80, 2)) >= 39
+
+
 # -- 10 ----------------------------------------------------------------------------------------
 def test_quality(spark, odd, none):
     rng = np.random.default_rng(9)
