@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codexa.functions.alignment import arabic_sentences, english_sentences
+from codexa.functions import alignment as A
+from codexa.functions import text as X
+from codexa.functions.alignment import arabic_sentences, english_sentences, name_skeletons, shared_evidence
 
 #: Tags at which words part (fixed values).
 SPACING = {"br", "div", "li", "p", "section", "table", "td", "th", "tr"}
@@ -36,44 +38,57 @@ class Text(HTMLParser):
 
 
 def plain_html(source: str | None) -> str:
-    """Text of HTML: white space collapsed, no space before closing punctuation."""
+    """Text of HTML, white space collapsed; entities that decoding uncovers are decoded too."""
     parser = Text()
     parser.feed(source or "")
     parser.close()
-    text = " ".join(html.unescape("".join(parser.out)).split())
-    return re.sub(r" +([.,;:!?])", r"\1", text)
+    return " ".join(html.unescape(" ".join("".join(parser.out).split())).split())
+
+
+FENCED = re.compile(r"```.*?(?:(```)|\Z)", re.DOTALL)
+
+
+def link_end(text: str, at: int) -> int | None:
+    """The end of a bracketed URL whose opening bracket precedes ``at``; brackets nest."""
+    depth = 1
+    for end in range(at, len(text)):
+        depth += {"(": 1, ")": -1}.get(text[end], 0)
+        if not depth:
+            return end + 1
+    return None
 
 
 def plain_markdown(source: str | None) -> str:
-    """Text of inline Markdown: no fences, links as labels, images as spaces, no emphasis marks."""
-    out, at, text = [], 0, re.sub(r"```.*?(?:```|\Z)", "", source or "", flags=re.DOTALL)
-    while at < len(text):
-        image = text.startswith("![", at)
-        if image or text[at] == "[":
-            shut = text.find("](", at)
-            if shut >= 0 and "\n" not in text[at:shut]:
-                depth, end = 1, shut + 2
-                while end < len(text) and depth:
-                    depth += {"(": 1, ")": -1}.get(text[end], 0)
-                    end += 1
-                if not depth:
-                    out.append(" " if image else plain_markdown(text[at + 1 : shut]))
-                    at = end
-                    continue
-        if text[at] == "`" and (end := text.find("`", at + 1)) > 0:
-            out.append(text[at + 1 : end])
-            at = end + 1
+    """Text of inline Markdown: no fences, links as labels, images as spaces, code without ticks, no emphasis marks."""
+    text = FENCED.sub(lambda m: " " if m[1] else "", source or "")
+    out, at = [], 0
+    for found in re.finditer(r"`|!?\[|[*_~]", text):
+        if found.start() < at:
             continue
-        if text[at] not in "*_~`":
-            out.append(text[at])
-        at += 1
-    return "".join(out)
+        mark, start = found[0], found.start()
+        out.append(text[at:start])
+        at = found.end()
+        if mark == "`":
+            if (end := text.find("`", at)) >= 0:
+                out.append(text[at:end])
+                at = end + 1
+        elif mark.endswith("["):
+            # a bang by itself is text, and so is a bracket that begins no link
+            shut = text.find("](", at)
+            end = link_end(text, shut + 2) if shut >= 0 and "]" not in text[at:shut] else None
+            out.append(mark if end is None else " " if mark == "![" else text[at:shut])
+            at = at if end is None else end
+    return " ".join("".join([*out, text[at:]]).split())
+
+
+#: Invisible marks, old ligatures and punctuation that matching ignores (fixed values).
+LIGATURES = str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"})
+IGNORED = dict.fromkeys(map(ord, "'\"`´′″‹›«»\u2018\u2019\u201c\u201d\u02bc\u2032\u2033.,;:!?()[]{}،؛؟–—-"))
 
 
 def normal(text: str | None) -> str:
     """NFKC without invisible marks and punctuation, Arabic letters folded, lower case."""
-    text = unicodedata.normalize("NFKC", text or "").strip().translate(ZERO_WIDTH)
-    text = "".join(c for c in text if not unicodedata.category(c).startswith("P"))
+    text = unicodedata.normalize("NFKC", text or "").strip().translate(ZERO_WIDTH).translate(LIGATURES).translate(IGNORED)
     text = re.sub("[\u064b-\u065f\u0670\u0640]", "", text).translate(str.maketrans("أإآٱةى", "ااااهي"))
     return text.lower().strip()
 
@@ -103,6 +118,51 @@ def normalize(c: Column) -> Column:
     return scalar("string")(normal)(c)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Likeness of two normalised texts by edit distance, 0 to 1; 0 if either is blank."""
+    return X.edit_share(normalize(a), normalize(b))
+
+
+def names(c: Column, strict: bool = False) -> Column:
+    """Skeletons of capitalised words that may be names; ``strict``: only those that can be landmarks."""
+    return scalar("array<string>")(lambda t: name_skeletons(t or "", strict))(c)
+
+
+def evidence(arabic: Column, english: Column) -> Column:
+    """``struct(names, numbers, mass)``: what two texts share, and its mass."""
+
+    @F.pandas_udf("struct<names:array<string>,numbers:array<string>,mass:int>")
+    def run(a: pd.Series, e: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared_evidence(x or "", y or "") for x, y in zip(a, e, strict=True)], columns=["names", "numbers", "mass"])
+
+    return run(arabic, english)
+
+
 def sentences(c: Column, lang: str) -> Column:
     split = arabic_sentences if lang == "ar" else english_sentences
     return scalar("array<string>")(lambda t: split(t or ""))(c)
+
+
+def page_lines(n: Column, first: Column, full: Column, after: Column) -> Column:
+    """Lines of a paragraph on each page."""
+
+    @F.pandas_udf("array<int>")
+    def run(n: pd.Series, first: pd.Series, full: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([A.balanced_counts(*map(int, row[:3]), after=int(row[3])) for row in zip(n, first, full, after, strict=True)])
+
+    return run(n, first, full, after)
+
+
+def elongations(c: Column) -> Column:
+    """Places in an Arabic word where a tatweel may be inserted."""
+    return scalar("array<int>")(lambda t: A.elongations(t or ""))(c)
+
+
+def elongated(c: Column, gap: Column, width: Column) -> Column:
+    """Text with as many tatweels of a width as fill a gap."""
+
+    @F.pandas_udf("string")
+    def run(c: pd.Series, gap: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([A.elongated(t or "", g, w) for t, g, w in zip(c, gap, width, strict=True)])
+
+    return run(c, gap, width)

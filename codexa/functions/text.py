@@ -5,9 +5,15 @@ Character classes are spelled out, because Java's ``\\w``, ``\\d`` and ``\\s`` a
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codexa.functions.alignment import CONSONANTS
+
 # -- character classes and tables (fixed values) -------------------------------------------
 DIACRITICS = "".join(map(chr, [*range(0x064B, 0x0659), 0x0670]))
 AR = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}"
@@ -62,9 +68,6 @@ REDUNDANT = [
     (r"ﷺ\s*صلى الله عليه وسلم", "ﷺ"),
     (r"صلى الله عليه وسلم\s*ﷺ", "ﷺ"),
 ]
-#: Arabic letters by the consonant they stand for; letters of two-letter sounds apart.
-CONSONANT_OF = dict(zip("بتجحدرزسصضطظفقكلمنهپچژگ", "btjhdrzssdtzfkklmnhbjzk", strict=True))
-DIGRAPHS = {"ث": "th", "خ": "kh", "ذ": "dh", "ش": "sh", "غ": "gh"}
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -188,10 +191,10 @@ def normalize_arabic(c: Column) -> Column:
     return F.trim(F.translate(bare, "أإآٱةى", "ااااهي"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; 0 if either is blank."""
+def edit_share(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length; 0 if either is empty. ``markup.similarity`` normalises both first."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
+    return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
 def repair(c: Column) -> Column:
@@ -277,11 +280,12 @@ def spoken(c: Column, kind: Column) -> Column:
 # -- skeletons, numbers, evidence --------------------------------------------------------------
 def arabic_skeleton(c: Column, ta_marbuta: str = "h") -> Column:
     """Consonants of Arabic text in Latin letters; all else goes; repeats collapse."""
-    known = "".join(CONSONANT_OF) + "".join(DIGRAPHS) + "ة"
-    c = F.regexp_replace(c, f"[^{known}]", "")
-    c = F.translate(c, "".join(CONSONANT_OF) + "ة", "".join(CONSONANT_OF.values()) + ta_marbuta)
-    for letter, sound in DIGRAPHS.items():
-        c = F.replace(c, F.lit(letter), F.lit(sound))
+    single = {letter: sound for letter, sound in CONSONANTS.items() if len(sound) == 1} | {"ة": ta_marbuta}
+    c = F.regexp_replace(c, f"[^{''.join(CONSONANTS)}ة]", "")
+    c = F.translate(c, "".join(single), "".join(single.values()))
+    for letter, sound in CONSONANTS.items():
+        if letter not in single:
+            c = F.replace(c, F.lit(letter), F.lit(sound))
     return F.regexp_replace(c, r"(.)\1+", "$1")
 
 
@@ -296,12 +300,16 @@ def variants(c: Column) -> Column:
     return F.array_distinct(F.array(c, *[F.replace(c, F.lit(a), F.lit(b)) for a, b in pairs]))
 
 
-DIGIT_SETS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
+@lru_cache(1)
+def digits() -> tuple[str, str]:
+    """All decimal digits of Unicode but the ASCII ones, and the ASCII digit of each."""
+    own = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(own), "".join(str(unicodedata.digit(c)) for c in own)
 
 
 def numbers(c: Column) -> Column:
     """Distinct digit runs in ASCII, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.translate(c, DIGIT_SETS, "0123456789" * 2), F.lit("([0-9]+)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.translate(c, *digits()), F.lit("([0-9]+)"), F.lit(1))))
 
 
 def matched_names(names: Column, blob_h: Column, blob_t: Column) -> Column:
@@ -324,13 +332,15 @@ def pair_score(names_mass: Column, has_number: Column, source_words: Column, tar
 
 
 # -- structure of source texts -------------------------------------------------------------------
-MARKERS = r"PageV\d+P\d+|ms\d+|#ms\d*|Milestone\d+"
+#: Page, manuscript and milestone marks (fixed values).
+MARKERS = r"(?U)\bPageV\d+P\d+\b", r"(?U)\bms\d+\b|\b\d+ms\b", r"(?U)\bMilestone\d+\b"
 
 
 def strip_markers(c: Column) -> Column:
-    """Page, manuscript and milestone marks go; runs of spaces collapse."""
-    bare = F.regexp_replace(F.regexp_replace(c, MARKERS, ""), r"\s\+\s*\z", "")
-    return F.trim(F.regexp_replace(bare, " {2,}", " "))
+    """Page, manuscript and milestone marks go; runs of white space collapse."""
+    for mark in MARKERS:
+        c = F.regexp_replace(c, mark, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, f"{WS}+\\+{WS}*\\z", ""), WS + "{2,}", " "), f"^{WS}+|{WS}+\\z", "")
 
 
 def split_hadith(c: Column) -> Column:
@@ -342,8 +352,8 @@ def split_hadith(c: Column) -> Column:
 
 
 def known_line(c: Column) -> Column:
-    """Whether a line starts with a mark of the source format."""
-    return c.rlike(r"^(?:#|~~|PageV|%|\s*\z)")
+    """Whether a line is blank or starts with a mark of the source format."""
+    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "").rlike(r"^(?:######OpenITI|#META#|### |# |~~|PageV|ms|Milestone|\z)")
 
 
 def usable(c: Column) -> Column:
@@ -357,32 +367,46 @@ def work_id(name: Column) -> Column:
     return F.when(F.size(F.split(name, r"\.")) >= 2, F.substring_index(name, ".", 2)).otherwise(name)
 
 
-HEADING = r"(?i)^(?:chapter|book|section|part|introduction|preface|conclusion|appendix)\b|^(?:\d+|[ivxlc]+)\.?\s+\S"
+#: Words and ordinals that a heading begins with (fixed values).
+HEADING = r"(?iU)^(?:(?:chapter|book|part|section|volume|maqama|ode)\b|(?:[IVXLCDM]+|\d+)\s*[.):-])"
 
 
 def looks_like_heading(c: Column) -> Column:
-    """Short, and either a heading word or mostly capitals."""
+    """Short, and either a heading word or ordinal first or mostly capitals."""
     letters = count(c, r"\p{L}")
-    caps = count(c, r"\p{Lu}")
+    caps = count(c, r"\p{IsUppercase}")
     return n_words(c).between(1, 16) & (F.length(c) <= 140) & (c.rlike(HEADING) | ((letters > 0) & (caps / letters >= 0.78)))
 
 
 # -- bidirectional display -----------------------------------------------------------------------
+ISOLATE, END_ISOLATE, TATWEEL = "\u2066", "\u2069", "\u0640"
+
+
 def protect_ltr(c: Column) -> Column:
-    """Isolates around runs of Latin letters and digits in Arabic text."""
-    run = r"([A-Za-z0-9][A-Za-z0-9 .,:/()'-]*[A-Za-z0-9]|[A-Za-z0-9])"
-    return F.when(is_arabic(c) & ~c.contains("⁦"), F.regexp_replace(c, run, "⁦$1⁩")).otherwise(c)
+    """Isolates around runs of Latin letters and digits, an opening bracket included; isolated text stays."""
+    run = r"([(\[]?[A-Za-z0-9][A-Za-z0-9._/:()\[\]-]*)"
+    return F.when(c.contains(ISOLATE), c).otherwise(F.regexp_replace(c, run, f"{ISOLATE}$1{END_ISOLATE}"))
 
 
 def semantic_text(c: Column) -> Column:
     """Without isolates and tatweel."""
-    return F.translate(c, "⁦⁧⁨⁩ـ", "")
+    return F.translate(c, ISOLATE + END_ISOLATE + TATWEEL, "")
+
+
+@lru_cache(1)
+def combining() -> str:
+    """Characters of a combining class, and the joiners, as a character class."""
+    own = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))] + [0x200C, 0x200D]
+    known = set(own)
+    starts, ends = ([c for c in own if c + d not in known] for d in (-1, 1))
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(sorted(starts), sorted(ends), strict=True))
 
 
 def visual_order(c: Column) -> Column:
-    """Grapheme clusters in reverse if there is Arabic."""
-    clusters = F.regexp_extract_all(c, F.lit(r"(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
-    return F.when(is_arabic_wide(c), F.array_join(F.reverse(clusters), "")).otherwise(c)
+    """Semantic text; its clusters of a character and its marks in reverse if there is Arabic."""
+    plain = semantic_text(c)
+    clusters = F.regexp_extract_all(plain, F.lit(f"((?s:.)[{combining()}]*)"), F.lit(1))
+    return F.when(plain.rlike(f"[{AR_WIDE}\\x{{08A0}}-\\x{{08FF}}]"), F.array_join(F.reverse(clusters), "")).otherwise(plain)
 
 
 def entry_heading(c: Column) -> Column:
@@ -392,7 +416,7 @@ def entry_heading(c: Column) -> Column:
 
 
 def grams(tokens: Column, width: int = 4) -> Column:
-    """Distinct n-grams of min(width, n) tokens, joined by a space.
+    """Distinct n-grams of min(width, n) tokens, as 64-bit hashes.
 
     The tokens are bound to a lambda variable, else they would be computed anew for every n-gram.
     """
@@ -400,7 +424,7 @@ def grams(tokens: Column, width: int = 4) -> Column:
     def of(t: Column) -> Column:
         size = F.least(F.lit(width), F.size(t))
         starts = F.sequence(F.lit(1), F.size(t) - size + 1)
-        return F.when(size > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+        return F.when(size > 0, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(t, i, size))))).otherwise(F.array().cast("array<bigint>"))
 
     return F.transform(F.array(tokens), of)[0]
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexa.functions import markup
 from codexa.functions import text as X
+from codexa.operators import pages, words
 
 GAP_RATIO, DEFAULT_HEIGHT, BUILDER = 1.5, 20.0, "codexa-1"
 ORDER = ["block_no", "line_no", "word_no", "ord"]
@@ -61,7 +63,7 @@ def blocks(words: DataFrame, key: str = "doc_id") -> DataFrame:
     out = out.join(main, [key, "grp"]).filter(F.col("text") != "")
     out = out.withColumn("type", F.when(F.col("head"), "heading").when(F.col("verse"), "verse").otherwise("paragraph"))
     place = Window.partitionBy(key).orderBy(F.coalesce("page", F.lit(0)), F.coalesce("mean_y", F.lit(0.0)), "first")
-    return out.withColumn("block_seq", F.row_number().over(place)).select(key, "block_seq", "type", "text", F.coalesce("page", F.lit(0)).alias("page"), "verse_key", "hadith_ref", "dominant_role", "n_words")
+    return out.withColumn("block_seq", F.row_number().over(place)).select(key, "block_seq", "type", "text", F.coalesce("page", F.lit(0)).alias("page"), "mean_y", "verse_key", "hadith_ref", "dominant_role", "n_words")
 
 
 def rendered(c: dict[str, Column]) -> tuple[Column, Column]:
@@ -107,27 +109,64 @@ def markdown(block_rows: DataFrame, key: str = "doc_id", title: Column | None =
     return rows.groupBy(key).agg(ordered("md").alias("markdown"), ordered("flat").alias("plain_text"), F.count("*").alias("n_blocks"))
 
 
-def words_checksum(words: DataFrame, key: str = "doc_id") -> DataFrame:
+def words_checksum(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """First 16 hex digits of the hash of a document's words in order."""
     line = F.concat_ws("|", F.coalesce("spoken_text", "text"), F.coalesce("role", F.lit("")), F.coalesce("verse_key", F.lit("")), F.col("block_no").cast("string"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, line.alias("line")))), lambda x: x["line"]), "\n")
-    return words.groupBy(key).agg(F.substring(F.sha2(lines, 256), 1, 16).alias("checksum"))
+    return rows.groupBy(key).agg(F.substring(F.sha2(lines, 256), 1, 16).alias("checksum"))
 
 
 def from_markdown(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Blocks of Markdown texts: headings, quotes and paragraphs; code fences are skipped."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    """Blocks of Markdown texts: headings, quotes and paragraphs; fenced code is left out and ends no paragraph."""
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), pages.LINE_ENDS)).alias("line_no", "line"))
     by = Window.partitionBy(key).orderBy("line_no")
-    line = F.trim("line")
+    line = F.regexp_replace("line", f"^{X.WS}+|{X.WS}+\\z", "")
     fence = line.startswith("```")
-    lines = lines.withColumn("fenced", (F.sum(fence.cast("int")).over(by) % 2 == 1) | fence)
-    kind = F.when(F.col("fenced") | (line == ""), "none").when(line.rlike("^#{1,6}\\s"), "heading").when(line.startswith(">"), "quote").otherwise("text")
-    lines = lines.withColumn("kind", kind)
+    lines = lines.withColumn("line", line).withColumn("fence", fence)
+    lines = lines.withColumn("fenced", F.col("fence") | (F.sum(F.col("fence").cast("int")).over(by) % 2 == 1)).filter("not fenced")
+    line = F.col("line")
+    lines = lines.withColumn("kind", F.when(line == "", "none").when(line.startswith("#"), "heading").when(line.startswith(">"), "quote").otherwise("text"))
     cut = (F.col("kind") != F.lag("kind", 1, "none").over(by)) | F.col("kind").isin("heading", "quote")
     lines = lines.withColumn("grp", F.sum(cut.cast("int")).over(by)).filter("kind <> 'none'")
-    bare = F.regexp_replace(F.regexp_replace(line, r"^(#{1,6}|>)\s*", ""), r"[*_~`]", "")
-    lines = lines.withColumn("bare", F.regexp_replace(F.regexp_replace(bare, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1"))
-    out = lines.groupBy(key, "grp").agg(F.first("kind").alias("kind"), X.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bare"))), lambda x: x["bare"]), " ")).alias("text"))
+    lines = lines.withColumn("line", F.when(F.col("kind") == "heading", F.regexp_replace(line, f"^#+{X.WS}*", "")).when(F.col("kind") == "quote", F.regexp_replace(line, f"^>{X.WS}*", "")).otherwise(line))
+    # a paragraph is stripped as a whole: its marks may span lines
+    whole = lines.groupBy(key, "grp").agg(F.first("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("raw"))
+    out = whole.withColumn("text", F.when(F.col("raw").rlike(r"[`*_~\[]"), markup.strip_markdown(F.col("raw"))).otherwise(X.collapse(F.col("raw"))))
     kind = F.when(F.col("kind") == "heading", "heading").when((F.col("kind") == "quote") & X.is_arabic(F.col("text")), "verse").otherwise("paragraph")
     seq = F.row_number().over(Window.partitionBy(key).orderBy("grp"))
     return out.filter("text <> ''").withColumn("type", kind).withColumn("block_seq", seq).select(key, "block_seq", "type", "text")
+
+
+def with_figures(block_rows: DataFrame, figures: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Blocks and figures in order of page and place: ``block_rows`` as from ``blocks``; figures have (key, fig, page, y, kind, label, caption, description).
+
+    A figure's text is its caption and description; at equal places blocks come first.
+    """
+    both = F.concat(F.col("caption"), F.lit(". "), F.coalesce("description", F.lit("")))
+    told = F.when(F.coalesce("caption", F.lit("")) != "", F.regexp_replace(both, r"^[. ]+|[. ]+\z", "")).otherwise(F.coalesce("description", F.lit("")))
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    own = block_rows.select(key, "page", F.coalesce("mean_y", F.lit(0.0)).alias("y"), F.lit(0).alias("figure"), F.col("block_seq").alias("at"), "type", "text", "verse_key", "hadith_ref", "dominant_role", null("figure_type"), null("label"), null("caption"))
+    more = figures.select(key, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1).alias("figure"), F.col("fig").alias("at"), F.lit("figure").alias("type"), told.alias("text"), null("verse_key"), null("hadith_ref"), null("dominant_role"), F.col("kind").alias("figure_type"), "label", "caption")
+    place = Window.partitionBy(key).orderBy("page", "y", "figure", "at")
+    return own.unionByName(more).withColumn("block_seq", F.row_number().over(place)).drop("y", "figure", "at")
+
+
+def document_rows(block_rows: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, language, word_count, block_count, figure_count)`` of documents with their blocks."""
+    counts = words.groupBy(key).agg(F.count("*").alias("word_count"))
+    letters, arabic = X.count(F.col("text"), r"\p{IsAlphabetic}"), X.count(F.col("text"), f"[{X.AR}]")
+    own = block_rows.groupBy(key).agg(F.count("*").alias("block_count"), F.count_if(F.col("type") == "figure").alias("figure_count"), F.sum(arabic).alias("arabic"), F.sum(letters).alias("letters"))
+    share = F.coalesce("arabic", F.lit(0)) / F.greatest(F.coalesce("letters", F.lit(0)), F.lit(1))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return counts.join(own, key, "full_outer").select(key, F.when(share > 0.3, "ar").otherwise("en").alias("language"), zero("word_count"), zero("block_count"), zero("figure_count"))
+
+
+def structured_blocks(docs: DataFrame, key: str = "id") -> DataFrame:
+    """Blocks of (key, tree, markdown, plain): the layout tree if it has typed nodes, else the Markdown, else the plain text as one paragraph."""
+    typed = F.coalesce(F.col("tree"), F.lit("")).rlike(r'"block_type"\s*:\s*"[^"]')
+    marked = F.regexp_replace(F.coalesce("markdown", F.lit("")), X.WS, "") != ""
+    plain = F.regexp_replace(F.coalesce("plain", F.lit("")), f"^{X.WS}+|{X.WS}+\\z", "")
+    by_tree = words.tree_blocks(docs.filter(typed).select(key, "tree"), "tree", key)
+    by_mark = from_markdown(docs.filter(~typed & marked).select(key, F.col("markdown").alias("text")), "text", key)
+    by_text = docs.filter(~typed & ~marked & (plain != "")).select(key, F.lit(1).alias("block_seq"), F.lit("paragraph").alias("type"), plain.alias("text"))
+    return by_tree.select(key, (F.col("block_seq") + 1).alias("block_seq"), "type", "text").unionByName(by_mark).unionByName(by_text)

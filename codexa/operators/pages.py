@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codexa.functions import text as X
 
+#: Line ends of plain text.
+LINE_ENDS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 MIN_WORDS, IMAGE_HEAVY, ARABIC_SHARE = 10, 0.55, 0.1
 #: Extraction settings of each page type (fixed values): OCR, engine, note, fallback.
 BACKENDS = [
@@ -56,6 +58,74 @@ def page_measures(words: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def words_with(c: Column, pattern: str) -> Column:
+    """Number of words of a text in which a pattern occurs."""
+    return X.count(c, f"{X.NOT_WS}*{pattern}{X.NOT_WS}*").cast("long")
+
+
+def text_measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The measures of ``page_measures`` for whole texts, in the row: no explode and no shuffle."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(
+        key,
+        X.count(c, f"{X.NOT_WS}+").cast("long").alias("word_count"),
+        words_with(c, r"[\x{0600}-\x{06FF}]").alias("arabic_word_count"),
+        words_with(c, "[A-Za-z]{2,}").alias("english_word_count"),
+        words_with(c, f"[{X.PUA}]").alias("pua_count"),
+        (F.length(c) - F.length(F.translate(c, X.MOJIBAKE, ""))).cast("long").alias("mojibake_count"),
+        F.length(F.regexp_replace(c, X.WS + "+", "")).cast("long").alias("char_count"),
+    )
+
+
+def token_summary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Words, lines with words, characters in words and the last block of ``tokens``, in the row; texts without words have no row."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    filled = F.transform(F.split(c, LINE_ENDS), lambda line, at: F.when(line.rlike(X.NOT_WS), at))
+    blocks = F.filter(filled, lambda at: at.isNotNull())
+    row = docs.select(key, X.count(c, f"{X.NOT_WS}+").cast("long").alias("n_words"), F.length(F.regexp_replace(c, X.WS + "+", "")).cast("long").alias("n_chars"), blocks.alias("b"))
+    return row.filter("n_words > 0").select(key, "n_words", F.size("b").cast("long").alias("n_lines"), "n_chars", (F.lit(1_000_000) + F.element_at("b", -1)).cast("long").alias("last_block"))
+
+
+def document_mojibake(words: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The damage report of the words of each document or page, joined by spaces in order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), " ")
+    whole = words.groupBy(*keys).agg(text.alias("text")).withColumn("key", F.struct(*keys))
+    return mojibake_report(whole, "text", "key").select("key.*", "has_mojibake", "mojibake_count", "mojibake_rate", "total_chars")
+
+
+def private_characters(c: Column) -> Column:
+    """A map of each private-use character of a text to its number."""
+    own = F.regexp_extract_all(c, F.lit(f"([{X.PUA}])"), F.lit(1))
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(own)), lambda ch: F.struct(ch.alias("key"), F.size(F.filter(own, lambda x: x == ch)).alias("value"))))
+
+
+def health(c: Column) -> Column:
+    """``struct(has_mojibake, ftfy_changed, has_double_honorifics, pua_characters, suggested_text)``; no repair library is here, so the text is the suggestion."""
+    return F.struct(X.has_mojibake(c).alias("has_mojibake"), F.lit(False).alias("ftfy_changed"), X.has_double_honorifics(c).alias("has_double_honorifics"), private_characters(c).alias("pua_characters"), c.alias("suggested_text"))
+
+
+def observed(words: DataFrame, keys: list[str]) -> DataFrame:
+    """A page's observations from its extracted words: counts, Arabic share and damage."""
+    m = page_measures(words.withColumn("text", F.coalesce("text", F.lit(""))), keys)
+    share = F.col("arabic_word_count") / F.greatest("word_count", F.lit(1))
+    return m.select(*keys, "word_count", (F.col("word_count") > 0).alias("has_text_layer"), share.alias("arabic_ratio"), "mojibake_count", (F.col("mojibake_count") / F.greatest("char_count", F.lit(1))).alias("mojibake_rate"))
+
+
+def span_rows(pages: DataFrame, payload: str = "payload", key: str = "page") -> DataFrame:
+    """``(key, span_no, x0, y0, x1, y1, font, text, size)`` of the text blocks in a page's JSON layout, in order."""
+    kind = "struct<blocks:array<struct<type:int,lines:array<struct<spans:array<struct<text:string,font:string,size:double,bbox:array<double>>>>>>>>"
+    blocks = F.filter(F.from_json(payload, kind)["blocks"], lambda b: b["type"] == 0)
+    spans = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(b["lines"], lambda line: line["spans"]))))
+    rows = pages.select(key, F.posexplode(spans).alias("span_no", "s"))
+    return rows.select(key, "span_no", *[F.coalesce(F.get("s.bbox", k), F.lit(0.0)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))], F.coalesce("s.font", F.lit("")).alias("font"), F.coalesce("s.text", F.lit("")).alias("text"), "s.size")
+
+
+def glyph_regions(spans: DataFrame) -> DataFrame:
+    """Spans that hold glyphs in a glyph font, with the glyph page that the font names."""
+    own = X.has_glyph(F.col("text")) & F.upper("font").rlike("QCF|KFGQPC")
+    return spans.filter(own).withColumn("mushaf_page", X.glyph_page(F.col("font")))
+
+
 def page_type(words: Column, arabic: Column, english: Column, pua: Column, fonts: Column, image: Column, present: Column) -> Column:
     """The kind of a page from its measures."""
     sparse = F.when(image >= IMAGE_HEAVY, "image_heavy").when(arabic > english, "scanned_arabic").otherwise("scanned_english")
@@ -108,7 +178,7 @@ def route(o: dict[str, Column], visual: bool = False, roles: bool = False, fidel
 
 def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Words of plain texts: ``(key, page, block_no, line_no, word_no, text)``; a text is page 1."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")).alias("line_no", "line"))
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), LINE_ENDS)).alias("line_no", "line"))
     words = lines.select(key, "line_no", F.posexplode(X.words(F.col("line"))).alias("word_no", "text"))
     return words.select(key, F.lit(1).alias("page"), (F.lit(1_000_000) + F.col("line_no")).cast("long").alias("block_no"), F.lit(0).alias("line_no"), "word_no", "text")
 
@@ -152,10 +222,28 @@ def plain(c: Column) -> Column:
     return F.regexp_replace(X.normalize_arabic(F.regexp_replace(c, r"\p{Mn}", "")), X.WS, "")
 
 
+PIECE = 3
+
+
+def pieces(c: Column) -> Column:
+    """All runs of up to ``PIECE`` characters of a text, each once."""
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(runs, range(1, PIECE + 1))))
+
+
 def verse_of(texts: DataFrame, verses: DataFrame) -> DataFrame:
-    """The first verse that contains a text or that it contains; null if none does."""
+    """The first verse that contains a text or that it contains; null if none does.
+
+    What contains a string contains its first ``PIECE`` characters, so both directions are equi-joins on pieces.
+    """
     v = verses.select("ord", "verse_key", plain(F.col("arabic")).alias("v"))
     t = texts.select("id", plain(F.col("text")).alias("t"))
-    met = t.join(F.broadcast(v), F.col("t").contains(F.col("v")) | F.col("v").contains(F.col("t")))
+    lead = lambda c: F.substring(c, 1, PIECE)
+    holds = t.select("id", "t", F.explode(pieces(F.col("t"))).alias("p")).join(v.withColumn("p", lead(F.col("v"))), "p").filter(F.col("t").contains(F.col("v")))
+    held = t.withColumn("p", lead(F.col("t"))).join(v.select("ord", "verse_key", "v", F.explode(pieces(F.col("v"))).alias("p")), "p").filter(F.col("v").contains(F.col("t")))
+    met = holds.select("id", "ord", "verse_key").unionByName(held.select("id", "ord", "verse_key"))
     best = met.groupBy("id").agg(F.min_by("verse_key", "ord").alias("verse_key"))
     return texts.select("id").join(best, "id", "left")

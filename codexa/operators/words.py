@@ -94,58 +94,67 @@ def real_boxes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: Leaf types of layout trees (fixed values).
-LEAVES = {"SectionHeader": "heading", "Text": "paragraph", "TextInlineMath": "paragraph", "ListItem": "paragraph", "Footnote": "footnote", "Caption": "paragraph", "Quote": "paragraph", "Figure": "figure"}
+LEAVES = {"SectionHeader": "heading", "Text": "paragraph", "TextInlineMath": "paragraph", "ListItem": "paragraph", "Footnote": "footnote", "Caption": "paragraph", "Equation": "verse", "Code": "paragraph"}
+
+
+def typed_nodes(tree) -> list[dict]:
+    """All nodes of a JSON layout tree that have a type, depth first."""
+    if isinstance(tree, list):
+        return [n for child in tree for n in typed_nodes(child)]
+    if not isinstance(tree, dict):
+        return []
+    return [tree][: "block_type" in tree] + typed_nodes(tree.get("children") or [])
+
+
+def node_text(node: dict) -> str:
+    return " ".join(str(node.get("text") or markup.plain_html(node.get("html"))).split())
+
+
+def leaves_of(source: str | None) -> list[dict]:
+    """Blocks of a tree: its leaves of known types that have text, else the text of all nodes as one paragraph."""
+    try:
+        nodes = typed_nodes(json.loads(source or "null"))
+    except ValueError:
+        return []
+    out = [{"type": LEAVES[n["block_type"]], "text": node_text(n)} for n in nodes if n["block_type"] in LEAVES and not n.get("children")]
+    rest = " ".join(filter(None, map(node_text, nodes)))
+    return [b for b in out if b["text"]] or ([{"type": "paragraph", "text": rest}] if rest else [])
 
 
 def tree_blocks(docs: DataFrame, tree: str = "tree", key: str = "id") -> DataFrame:
-    """Blocks of JSON layout trees, depth first; a tree without known leaves gives all its text as one block."""
-    kind = "array<struct<type:string,text:string>>"
-
-    def walk(node, out: list, rest: list) -> None:
-        if isinstance(node, list):
-            for child in node:
-                walk(child, out, rest)
-            return
-        if not isinstance(node, dict):
-            return
-        text = markup.plain_html(node.get("html") or node.get("text") or "")
-        children = node.get("children") or node.get("blocks") or []
-        if children:
-            walk(children, out, rest)
-        elif text:
-            rest.append(text)
-            if node.get("block_type") in LEAVES:
-                out.append({"type": LEAVES[node["block_type"]], "text": text})
-
-    @F.pandas_udf(kind)
-    def blocks(s: pd.Series) -> pd.Series:
-        def one(source):
-            out: list[dict] = []
-            rest: list[str] = []
-            try:
-                walk(json.loads(source or "null"), out, rest)
-            except ValueError:
-                return []
-            return out or ([{"type": "paragraph", "text": " ".join(rest)}] if rest else [])
+    """``(key, block_seq, type, text)`` of JSON layout trees, read in Arrow batches."""
 
-        return s.map(one)
+    @F.pandas_udf("array<struct<type:string,text:string>>")
+    def blocks(s: pd.Series) -> pd.Series:
+        return s.map(leaves_of)
 
     return docs.select(key, F.posexplode(blocks(F.col(tree))).alias("block_seq", "b")).select(key, "block_seq", "b.type", "b.text")
 
 
-def structural_links(structures: DataFrame, masses: DataFrame, least: int = 4) -> DataFrame:
-    """Pairs of structures of equal number and order if enough of them share landmarks, else one link a work.
+def heading_evidence(structures: DataFrame) -> DataFrame:
+    """``(work, sequence, mass, marks)``: what the headings of structures of equal number share."""
+    side = lambda lang: structures.filter(F.col("lang") == lang).select("work", "sequence", F.col("heading").alias(lang))
+    met = side("ar").join(side("en"), ["work", "sequence"]).withColumn("e", markup.evidence(F.col("ar"), F.col("en")))
+    marks = F.concat(F.transform("e.names", lambda n: F.concat(F.lit("name:"), n)), F.transform("e.numbers", lambda n: F.concat(F.lit("number:"), n)))
+    return met.select("work", "sequence", "e.mass", marks.alias("marks"))
+
+
+def structural_links(structures: DataFrame, least: int = 4) -> DataFrame:
+    """``(work, pair, ar_ids, en_ids, method, confidence, flags, evidence)``: pairs of structures of equal number if their headings confirm the order, else one link a work.
 
-    ``structures``: (work, lang, sequence, id); ``masses``: (work, sequence, mass) of equal sequences.
+    ``structures``: (work, lang, sequence, id, heading).
     """
+    seen = heading_evidence(structures).withColumn("marks", F.when(F.col("mass") >= least, F.col("marks")).otherwise(F.array().cast("array<string>")))
     per = structures.groupBy("work").agg(F.count_if(F.col("lang") == "ar").alias("a"), F.count_if(F.col("lang") == "en").alias("e"))
-    strong = masses.groupBy("work").agg(F.count_if(F.col("mass") >= least).alias("strong"))
+    strong = seen.groupBy("work").agg(F.count_if(F.size("marks") > 0).alias("strong"))
     gate = per.join(strong, "work", "left").withColumn("paired", (F.col("a") == F.col("e")) & (F.col("a") >= 2) & (F.coalesce("strong", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(F.col("a") / 4))))
-    side = lambda lang, name: structures.filter(F.col("lang") == lang).select("work", "sequence", F.array("id").alias(name))
-    pairs = side("ar", "ar_ids").join(side("en", "en_ids"), ["work", "sequence"]).join(gate.filter("paired").select("work"), "work")
+    side = lambda lang, name: structures.filter(F.col("lang") == lang).select("work", F.col("sequence").alias("pair"), F.array("id").alias(name))
+    pairs = side("ar", "ar_ids").join(side("en", "en_ids"), ["work", "pair"]).join(gate.filter("paired").select("work"), "work").join(seen.select("work", F.col("sequence").alias("pair"), F.col("marks").alias("evidence")), ["work", "pair"])
     every = lambda lang: F.transform(F.array_sort(F.collect_list(F.when(F.col("lang") == lang, F.struct("sequence", "id")))), lambda x: x["id"])
-    whole = structures.join(gate.filter("not paired").select("work"), "work").groupBy("work").agg(F.lit(0).alias("sequence"), every("ar").alias("ar_ids"), every("en").alias("en_ids"))
-    return pairs.select("work", "sequence", "ar_ids", "en_ids", F.lit("structure_pair").alias("method"), F.lit(0.9).alias("confidence")).unionByName(whole.select("work", "sequence", "ar_ids", "en_ids", F.lit("whole_book").alias("method"), F.lit(0.5).alias("confidence")))
+    whole = structures.join(gate.filter("not paired").select("work"), "work").groupBy("work").agg(every("ar").alias("ar_ids"), every("en").alias("en_ids"))
+    none, doubts = F.array().cast("array<string>"), F.array(F.lit("unanchored_structure"), F.lit("review_required"))
+    row = lambda df, pair, method, sure, flags, evidence: df.select("work", pair.cast("int").alias("pair"), "ar_ids", "en_ids", F.lit(method).alias("method"), F.lit(sure).alias("confidence"), flags.alias("flags"), evidence.alias("evidence"))
+    return row(pairs, F.col("pair"), "bilateral_structure_sequence", 0.92, none, F.col("evidence")).unionByName(row(whole, F.lit(0), "whole_book_unanchored", 0.2, doubts, none))
 
 
 def extraction_stats(pages: DataFrame) -> DataFrame:
@@ -164,6 +173,12 @@ def repaired_pages(words: DataFrame, fixed: str = "repaired") -> DataFrame:
     return words.groupBy("page").agg(ordered("text").alias("original_text"), ordered(fixed).alias("repaired_text"), F.count("*").alias("word_count"))
 
 
-def coerced(box: Column, x: Column, y: Column) -> Column:
-    """Coordinates from a box struct or from flat columns."""
-    return F.struct(F.coalesce(box["x"], x).alias("x"), F.coalesce(box["y"], y).alias("y"))
+def coerced(rows: DataFrame, box: str = "bbox") -> DataFrame:
+    """Word rows of loose records: coordinates from a box struct if there is one, defaults for what is missing."""
+    of = lambda c, default=None, kind="string": F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in rows.columns else F.lit(default).cast(kind)
+    place = lambda c: (F.when(F.col(box).isNotNull(), F.col(f"{box}.{c}")).otherwise(of(c, None, "double")) if box in rows.columns else of(c, None, "double")).cast("double").alias(c)
+    text = of("text", "")
+    return rows.select(
+        text.alias("text"), F.coalesce(of("spoken_text"), text).alias("spoken_text"), of("language", "en").alias("language"), of("role", "body").alias("role"), of("section_type", "body").alias("section_type"), of("verse_key").alias("verse_key"), of("hadith_ref").alias("hadith_ref"),
+        of("block_no", 0, "long").alias("block_no"), of("line_no", 0, "int").alias("line_no"), of("word_no", 0, "int").alias("word_no"), *(place(c) for c in ("x", "y", "width", "height")), of("page", None, "int").alias("page"), of("is_word_continuation", False, "boolean").alias("is_word_continuation"),
+    )

@@ -1,7 +1,7 @@
 """Queries over the driver's tables and literal fixtures, with DuckDB equivalents.
 
-``QUERIES`` maps a name to a callable (spark, sf_dir); ``ORACLES`` maps names to SQL where SQL can
-express the operator. The others are held against brute force in the tests.
+``QUERIES`` maps a name to a callable (spark, sf_dir); ``ORACLES`` maps names to SQL. Where the input is a literal
+fixture and SQL can't express the operator, the SQL is the rows expected, written out in ``expected``.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexa.functions import alignment as A
+from codexa.functions import markup
 from codexa.functions import text as X
 from codexa.operators import align, layout, pages, sources, words
-from codexa.plans import extract, translate
+from codexa.plans import expected, extract, translate
 from codexa.plans import fixtures as fx
+from codexa.sources.store import keep
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,6 +26,8 @@ def query(oracle: str | None = None):
         QUERIES[f.__name__] = f
         if oracle:
             ORACLES[f.__name__] = oracle
+        elif f.__name__ in expected.ROWS:
+            ORACLES[f.__name__] = expected.ROWS[f.__name__].sql()
         return f
 
     return register
@@ -63,7 +66,24 @@ def repair_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fixed, 256).alias("repaired_sha256"), (fixed != F.col("text")).alias("changed"))
 
 
-@query()
+LATIN_SQL = r"a-zA-Z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}\x{02BE}\x{02BF}\x{2018}\x{2019}"
+
+
+def _letter(c: str) -> str:
+    return f"regexp_matches({c}, '[{LATIN_SQL}'']')"
+
+
+_PLAIN = "text"
+for _one, _many in X.LIGATURES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_one}', '{_many}')"
+# each run of word characters is mended character by character from its original neighbours
+_CHAR = f"""CASE WHEN r[i] = '|' AND i > 1 AND {_letter('r[i - 1]')} AND r[i + 1] <> '|' THEN 'ff'
+  WHEN r[i] = chr(127) AND ((i > 1 AND {_letter('r[i - 1]')}) OR {_letter('r[i + 1]')}) THEN 'fi' ELSE r[i] END"""
+LIGATURE_SQL = f"""CASE WHEN regexp_matches(p, '[|\\x7f]') THEN array_to_string(list_transform(regexp_extract_all(p, '[{LATIN_SQL}''|\\x{{7f}}-]+|[^{LATIN_SQL}''|\\x{{7f}}-]+'),
+  lambda r: CASE WHEN starts_with(r, '|') OR NOT regexp_matches(r, '[|\\x7f]') THEN r ELSE array_to_string(list_transform(range(1, length(r) + 1), lambda i: {_CHAR}), '') END), '') ELSE p END"""
+
+
+@query(f"SELECT doc_id, sha256(fixed) AS expanded_sha256, fixed <> text AS changed FROM (SELECT doc_id, text, {LIGATURE_SQL} AS fixed FROM (SELECT doc_id, text, {_PLAIN} AS p FROM documents))")
 def ligature_expand(spark, sf_dir):
     fixed = X.expand_ligatures(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fixed, 256).alias("expanded_sha256"), (fixed != F.col("text")).alias("changed"))
@@ -78,34 +98,72 @@ def _count(pattern: str) -> str:
     return f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
 
 
+# doubled symbols, a symbol within 30 characters of an abbreviation, or with a written-out form anywhere
+DOUBLE_SQL = "(" + " OR ".join(f"contains(text, '{s} {s}') OR contains(text, '{s}{s}') OR (contains(text, '{s}') AND (" + " OR ".join([f"(contains(text, '{a}') AND abs(strpos(text, '{s}') - strpos(text, '{a}')) < 30)" for a in X.ABBREVIATIONS] + [f"contains(text, '{e}')" for e in X.EXPANSIONS]) + "))" for s in X.DOUBLED) + ")"
+
+
 @query(
     f"""SELECT doc_id, CASE WHEN length(text) < 10 THEN false WHEN {_count('�')} > length(text) * 0.05 OR {_count('□')} > length(text) * 0.05 OR {_count('■')} > length(text) * 0.05 THEN true
         WHEN ({_count('[؀-ۿ]')} + {_count('[a-zA-Z]')}) / length(text) < 0.2 AND {_count('[À-ſ]')} / length(text) > 0.1 THEN true
         ELSE {_count(r'[_\p{L}\p{M}\p{Nd}\p{Pc}\s]')} / length(text) < 0.3 END AS has_mojibake,
-        false AS has_double_honorifics, CAST({_count(PUA_SQL)} AS BIGINT) AS pua_chars FROM documents"""
+        {DOUBLE_SQL} AS has_double_honorifics, CAST({_count(PUA_SQL)} AS BIGINT) AS pua_chars FROM documents"""
 )
 def text_health(spark, sf_dir):
     c = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", X.has_mojibake(c).alias("has_mojibake"), X.has_double_honorifics(c).alias("has_double_honorifics"), X.count(c, f"[{X.PUA}]").cast("long").alias("pua_chars"))
 
 
+@query(
+    f"""SELECT id, has_double, CAST(coalesce(list_sum(list_transform(chars, lambda c: 1)), 0) AS BIGINT) AS pua_chars, CAST(len(list_distinct(chars)) AS BIGINT) AS pua_kinds, text AS suggested
+        FROM (SELECT id, text, regexp_extract_all(text, '{PUA_SQL}') AS chars, {DOUBLE_SQL} AS has_double FROM {fx.TEXTS.sql()})"""
+)
+def health_summary(spark, sf_dir):
+    h = fx.TEXTS.df(spark).select("id", pages.health(F.col("text")).alias("h"))
+    total = F.aggregate(F.map_values("h.pua_characters"), F.lit(0), lambda n, x: n + x)
+    return h.select("id", F.col("h.has_double_honorifics").alias("has_double"), total.cast("long").alias("pua_chars"), F.cardinality("h.pua_characters").cast("long").alias("pua_kinds"), F.col("h.suggested_text").alias("suggested"))
+
+
 # -- words, page measures, routing -----------------------------------------------------------------
 TOKENS_SQL = r"(SELECT doc_id, ord, unnest(list_filter(regexp_split_to_array(line, '[\s\p{Z}]+'), lambda w: w <> '')) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents))"
 
 
 @query(f"SELECT doc_id, count(*) AS n_words, count(DISTINCT ord) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars, 1000000 + max(ord) AS last_block FROM {TOKENS_SQL} GROUP BY doc_id")
 def words_tokenise(spark, sf_dir):
-    words = pages.tokens(table(spark, sf_dir, "documents"))
-    return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.countDistinct("block_no").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.max("block_no").alias("last_block"))
+    return pages.token_summary(table(spark, sf_dir, "documents"))
 
 
-MEASURES_SQL = rf"""(SELECT doc_id, count(*) AS word_count, count(*) FILTER (regexp_matches(text, '[\x{{0600}}-\x{{06FF}}]')) AS arabic_word_count, count(*) FILTER (regexp_matches(text, '[A-Za-z]{{2,}}')) AS english_word_count,
- count(*) FILTER (regexp_matches(text, '{PUA_SQL}')) AS pua_count, CAST(sum({MOJI_SQL}) AS BIGINT) AS mojibake_count, CAST(sum(length(text)) AS BIGINT) AS char_count FROM {TOKENS_SQL} GROUP BY doc_id)"""
+@query(f"SELECT doc_id, count(*) AS n_words, count(DISTINCT block_no) AS n_blocks, CAST(sum(word_no * length(text)) AS BIGINT) AS mark FROM (SELECT doc_id, 1000000 + ord AS block_no, text, word_no FROM (SELECT doc_id, ord, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS word_no FROM (SELECT doc_id, ord, list_filter(regexp_split_to_array(line, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)))) GROUP BY doc_id")
+def word_rows(spark, sf_dir):
+    """The word table itself, one row a word, rolled up for comparison."""
+    rows = pages.tokens(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.countDistinct("block_no").alias("n_blocks"), F.sum(F.col("word_no") * F.length("text")).cast("long").alias("mark"))
+
+
+MEASURES_SQL = rf"""(SELECT d.doc_id, count(t.text) AS word_count, count(t.text) FILTER (regexp_matches(t.text, '[\x{{0600}}-\x{{06FF}}]')) AS arabic_word_count, count(t.text) FILTER (regexp_matches(t.text, '[A-Za-z]{{2,}}')) AS english_word_count,
+ count(t.text) FILTER (regexp_matches(t.text, '{PUA_SQL}')) AS pua_count, CAST(coalesce(sum(length(t.text) - length(translate(t.text, '{X.MOJIBAKE}', ''))), 0) AS BIGINT) AS mojibake_count, CAST(coalesce(sum(length(t.text)), 0) AS BIGINT) AS char_count
+ FROM documents d LEFT JOIN {TOKENS_SQL} t ON d.doc_id = t.doc_id GROUP BY d.doc_id)"""
 
 
 @query(f"SELECT * FROM {MEASURES_SQL}")
 def page_profile(spark, sf_dir):
-    return pages.page_measures(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"])
+    return pages.text_measures(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, word_count, word_count > 0 AS has_text_layer, arabic_word_count / greatest(word_count, 1) AS arabic_ratio, mojibake_count, mojibake_count / greatest(char_count, 1) AS mojibake_rate FROM {MEASURES_SQL} WHERE word_count > 0")
+def extraction_observations(spark, sf_dir):
+    """Observations from the word table; a page without words has no rows in it."""
+    return pages.observed(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+@query(f"SELECT doc_id, t <> translate(t, '{X.MOJIBAKE}', '') AS has_mojibake, length(t) - length(translate(t, '{X.MOJIBAKE}', '')) AS mojibake_count, (length(t) - length(translate(t, '{X.MOJIBAKE}', ''))) / greatest(length(t), 1) AS mojibake_rate, length(t) AS total_chars FROM (SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''")
+def document_mojibake(spark, sf_dir):
+    return pages.document_mojibake(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"], ["block_no", "word_no"])
+
+
+@query(r"SELECT number, count(*) AS texts FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS number FROM documents) GROUP BY number")
+def number_counts(spark, sf_dir):
+    """In how many texts each number occurs."""
+    return table(spark, sf_dir, "documents").select(F.explode(X.numbers(F.col("text"))).alias("number")).groupBy("number").agg(F.count("*").alias("texts"))
 
 
 CLASS_SQL = "CASE WHEN pua_count > 0 THEN 'qcf_quran' WHEN word_count < 10 THEN CASE WHEN arabic_word_count > english_word_count THEN 'scanned_arabic' ELSE 'scanned_english' END WHEN arabic_word_count / word_count >= 0.1 THEN 'text_arabic_english' ELSE 'text_english' END"
@@ -114,7 +172,7 @@ BACKEND_SQL = fx.Fixture("page_type string, force_ocr boolean, ocr_backend strin
 
 @query(f"SELECT page_type, force_ocr, ocr_backend, fallback, count(*) AS n FROM (SELECT {CLASS_SQL} AS page_type FROM {MEASURES_SQL}) JOIN {BACKEND_SQL} USING (page_type) GROUP BY ALL")
 def classify_documents(spark, sf_dir):
-    m = pages.page_measures(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"])
+    m = pages.text_measures(table(spark, sf_dir, "documents"))
     kind = pages.page_type(*[F.col(c) for c in ("word_count", "arabic_word_count", "english_word_count", "pua_count")], F.lit(False), F.lit(0.0), F.lit(True))
     return pages.with_backend(m.select(kind.alias("page_type"))).groupBy("page_type", "force_ocr", "ocr_backend", "fallback").agg(F.count("*").alias("n"))
 
@@ -128,16 +186,16 @@ def classify_pages(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN word_count < 10 THEN 'sparse' WHEN arabic_word_count / word_count > 0.1 THEN 'text_arabic_english' ELSE 'text_english' END AS primary_type,
-        CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'enrich_text' ELSE 'skip' END AS action,
-        CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'extraction corruption detected (mojibake_count=' || mojibake_count || ', mojibake_rate=' || format('{{:.2f}}', 100 * mojibake_count / greatest(char_count, 1)) || '%)'
+    f"""SELECT doc_id, CASE WHEN word_count = 0 THEN 'scanned' WHEN word_count < 10 THEN 'sparse' WHEN arabic_word_count / word_count > 0.1 THEN 'text_arabic_english' ELSE 'text_english' END AS primary_type,
+        CASE WHEN word_count = 0 THEN 'enrich_vision' WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'enrich_text' ELSE 'skip' END AS action,
+        CASE WHEN word_count = 0 THEN 'no native text layer (word_count=0)' WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN 'extraction corruption detected (mojibake_count=' || mojibake_count || ', mojibake_rate=' || format('{{:.2f}}', 100 * mojibake_count / greatest(char_count, 1)) || '%)'
              ELSE 'local processing sufficient for requested task' || CASE WHEN word_count > 50 THEN '; clean native extraction available (' || word_count || ' words)' ELSE '' END END AS reasons,
-        CASE WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS confidence FROM {MEASURES_SQL}"""
+        CASE WHEN word_count = 0 THEN CAST(0.95 AS DOUBLE) WHEN mojibake_count >= 3 OR mojibake_count / greatest(char_count, 1) > 0.005 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS confidence FROM {MEASURES_SQL}"""
 )
 def route_documents(spark, sf_dir):
-    m = pages.page_measures(pages.tokens(table(spark, sf_dir, "documents")), ["doc_id"])
+    m = pages.text_measures(table(spark, sf_dir, "documents"))
     o = {"word_count": F.col("word_count"), "qcf": F.lit(False), "mojibake_count": F.col("mojibake_count"), "mojibake_rate": F.col("mojibake_count") / F.greatest("char_count", F.lit(1)), "text_coverage": F.lit(1.0), "image_ratio": F.lit(0.0)}
-    kind = pages.observed_type(F.col("word_count"), F.col("arabic_word_count") / F.col("word_count"), F.lit(False))
+    kind = pages.observed_type(F.col("word_count"), F.col("arabic_word_count") / F.greatest("word_count", F.lit(1)), F.lit(False))
     return m.select("doc_id", kind.alias("primary_type"), pages.route(o).alias("r")).select("doc_id", "primary_type", "r.action", F.array_join("r.reasons", "; ").alias("reasons"), "r.confidence")
 
 
@@ -158,13 +216,12 @@ def _n(col: str, pattern: str) -> str:
         regexp_replace(text, '{DIA_SQL}', '', 'g') AS bare,
         CASE WHEN {_n('text', DIA_SQL)} = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform(regexp_extract_all(text, '(?:^|[^\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}])({DIA_SQL}+)', 1), lambda r: length(r))), 0) / {_n('text', DIA_SQL)} END AS orphan_rate,
         trim(translate(regexp_replace(text, '[\x{{064B}}-\x{{065F}}\x{{0670}}\x{{0640}}]', '', 'g'), 'أإآٱةى', 'ااااهي')) AS normal,
-        CASE WHEN {_n('text', r'\p{L}')} > 0 AND {_n('text', AR_SQL)} / {_n('text', r'\p{L}')} > 0.3 THEN 'ar' ELSE 'en' END AS lang FROM {T_SQL} WHERE id <> 2"""
+        CASE WHEN {_n('text', r'\p{L}')} > 0 AND {_n('text', AR_SQL)} / {_n('text', r'\p{L}')} > 0.3 THEN 'ar' ELSE 'en' END AS lang FROM {T_SQL}"""
 )
 def arabic_scalars(spark, sf_dir):
     c = F.col("text")
     return (
         fx.TEXTS.df(spark)
-        .filter("id <> 2")
         .select("id", X.is_arabic(c).alias("is_arabic"), X.is_arabic_wide(c).alias("is_arabic_wide"), X.is_mostly_arabic(c).alias("mostly_arabic"), X.strip_diacritics(c).alias("bare"), X.orphan_rate(c).alias("orphan_rate"), X.normalize_arabic(c).alias("normal"), X.language(c).alias("lang"))
     )
 
@@ -198,7 +255,11 @@ def skeletons(spark, sf_dir):
     return fx.TEXTS.df(spark).select("id", X.arabic_skeleton(c).alias("ar_h"), X.arabic_skeleton(c, "t").alias("ar_t"), X.latin_skeleton(o).alias("latin"), F.array_join(X.variants(X.latin_skeleton(o)), ",").alias("variants"))
 
 
-@query(f"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(translate(text, '{X.DIGIT_SETS}', '01234567890123456789'), '[0-9]+'))), ',') AS numbers, coalesce(array_to_string(list_sort(list_intersect(regexp_extract_all(translate(text, '{X.DIGIT_SETS}', '01234567890123456789'), '[0-9]+'), regexp_extract_all(translate(other, '{X.DIGIT_SETS}', '01234567890123456789'), '[0-9]+'))), ','), '') AS shared FROM {T_SQL}")
+def _ascii(column: str) -> str:
+    return "translate({}, '{}', '{}')".format(column, *X.digits())
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all({_ascii('text')}, '[0-9]+'))), ',') AS numbers, coalesce(array_to_string(list_sort(list_intersect(regexp_extract_all({_ascii('text')}, '[0-9]+'), regexp_extract_all({_ascii('other')}, '[0-9]+'))), ','), '') AS shared FROM {T_SQL}")
 def shared_numbers(spark, sf_dir):
     a, b = X.numbers(F.col("text")), X.numbers(F.col("other"))
     return fx.TEXTS.df(spark).select("id", F.array_join(a, ",").alias("numbers"), F.array_join(F.array_intersect(a, b), ",").alias("shared"))
@@ -211,14 +272,53 @@ def tidy_text(spark, sf_dir):
 
 @query()
 def edit_similarity(spark, sf_dir):
-    a, b = fx.TEXTS.df(spark).select(F.col("id").alias("a"), F.col("text").alias("s")), fx.TEXTS.df(spark).select(F.col("id").alias("b"), F.col("text").alias("t"))
-    return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(X.similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+    return fx.EDITS.df(spark).select("id", markup.normalize(F.col("s")).alias("normal"), F.round(markup.similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
 @query()
 def bidi_text(spark, sf_dir):
     c = F.col("text")
-    return fx.TEXTS.df(spark).select("id", X.protect_ltr(c).alias("protected"), X.semantic_text(X.protect_ltr(c)).alias("semantic"), X.visual_order(c).alias("visual"), X.entry_heading(F.concat(F.lit("12 - "), c)).alias("heading"))
+    return fx.BIDI.df(spark).select("id", X.protect_ltr(c).alias("protected"), X.semantic_text(X.protect_ltr(c)).alias("semantic"), X.visual_order(c).alias("visual"), X.entry_heading(c).alias("heading"))
+
+
+@query(
+    f"""SELECT name, CASE WHEN len(string_split(base, '.')) >= 2 THEN array_to_string(string_split(base, '.')[1:2], '.') ELSE base END AS work_id, trim(value) AS raw,
+        CASE WHEN regexp_matches(trim(value), '^[+-]?[0-9]+$') THEN CAST(trim(value) AS INTEGER) END AS number FROM (SELECT *, string_split(name, '/')[-1] AS base FROM {fx.NAMES.sql()})"""
+)
+def source_names(spark, sf_dir):
+    base = F.substring_index("name", "/", -1)
+    return fx.NAMES.df(spark).select("name", X.work_id(base).alias("work_id"), F.trim("value").alias("raw"), sources.optional_int(F.col("value")).alias("number"))
+
+
+@query()
+def name_skeletons(spark, sf_dir):
+    c = F.col("text")
+    return fx.SENTENCES.df(spark).filter("lang = 'en'").select("id", F.array_join(markup.names(c), ",").alias("names"), F.array_join(markup.names(c, True), ",").alias("anchors"))
+
+
+@query()
+def pair_evidence(spark, sf_dir):
+    e = markup.evidence(F.col("ar"), F.col("en"))
+    rows = fx.EVIDENCE.df(spark).withColumn("e", e)
+    mass = F.aggregate("e.names", F.lit(0), lambda n, x: n + F.length(x))
+    score = X.pair_score(mass, F.size("e.numbers") > 0, X.n_words(F.col("ar")), X.n_words(F.col("en")), F.lit(1.5))
+    return rows.select("id", F.array_join("e.names", ",").alias("names"), F.array_join("e.numbers", ",").alias("numbers"), "e.mass", F.round(score, 6).alias("score"))
+
+
+@query()
+def sentence_lists(spark, sf_dir):
+    c = F.col("text")
+    return fx.SENTENCES.df(spark).select("id", F.array_join(F.when(F.col("lang") == "ar", markup.sentences(c, "ar")).otherwise(markup.sentences(c, "en")), "|").alias("sentences"))
+
+
+@query()
+def page_lines(spark, sf_dir):
+    return fx.LINES.df(spark).select("id", F.array_join(markup.page_lines(*[F.col(c) for c in ("n", "first", "full", "after")]), ",").alias("counts"))
+
+
+@query()
+def elongations(spark, sf_dir):
+    return fx.WORDS.df(spark).select("id", F.array_join(markup.elongations(F.col("text")), ",").alias("places"), markup.elongated(F.col("text"), F.col("gap"), F.lit(1.0)).alias("filled"))
 
 
 # -- joins by glyph, place and content ---------------------------------------------------------------
@@ -260,6 +360,35 @@ def verse_lookup(spark, sf_dir):
     return pages.verse_of(fx.VERSE_TEXTS.df(spark), fx.VERSES.df(spark))
 
 
+@query()
+def glyph_regions(spark, sf_dir):
+    spans = pages.span_rows(fx.LAYOUTS.df(spark))
+    return pages.glyph_regions(spans).select("page", "span_no", "x0", "y1", "font", "text", "size", "mushaf_page")
+
+
+@query()
+def font_spans(spark, sf_dir):
+    return pages.span_rows(fx.LAYOUTS.df(spark)).filter(X.is_repairable_font(F.col("font"))).select("page", "span_no", "x0", "y0", "x1", "y1", "font")
+
+
+@query(f"SELECT page, sum(CASE WHEN regexp_matches(text, '{PUA_SQL}') THEN length(text) - length(regexp_replace(text, '{PUA_SQL}', '', 'g')) ELSE 0 END) > (sum(length(text)) + count(*) - 1) * 0.2 OR count(*) FILTER (y1 - y0 <= 0.1) > count(*) * 0.5 AS has_issues FROM {fx.GHOSTS.sql()} GROUP BY page")
+def glyph_faults(spark, sf_dir):
+    return words.glyph_faults(fx.GHOSTS.df(spark).withColumn("height", F.col("y1") - F.col("y0")), ["page"])
+
+
+@query()
+def real_boxes(spark, sf_dir):
+    boxes = fx.GHOSTS.df(spark)
+    kept, ghosts = words.real_boxes(boxes)
+    return kept.select("page", "word_no").unionByName(ghosts.select(F.lit(-1).alias("page"), F.col("ghosts").cast("int").alias("word_no")))
+
+
+@query()
+def loose_words(spark, sf_dir):
+    rows = fx.LOOSE.df(spark).withColumn("bbox", F.when(F.col("bx").isNotNull(), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"))))
+    return words.coerced(rows).select("text", "spoken_text", "language", "role", "section_type", "block_no", "x", "y", "page", "is_word_continuation")
+
+
 # -- layout and Markdown -----------------------------------------------------------------------------
 def turns_as_words(spark, sf_dir) -> DataFrame:
     """Conversations as positioned words: a conversation is a document, a turn a block."""
@@ -295,17 +424,82 @@ def words_checksum(spark, sf_dir):
     return layout.words_checksum(turns_as_words(spark, sf_dir))
 
 
-@query()
+LINES_SQL = r"(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+# no document has links, code or quotes; marks of emphasis go, and lines of a paragraph are joined
+IMPORT_SQL = rf"""WITH l AS (SELECT doc_id, no, trim(regexp_replace(line, '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM {LINES_SQL}),
+ k AS (SELECT *, CASE WHEN t = '' THEN 'none' WHEN starts_with(t, '#') THEN 'heading' WHEN starts_with(t, '>') THEN 'quote' ELSE 'text' END AS kind FROM l),
+ c AS (SELECT *, CASE WHEN kind <> lag(kind, 1, 'none') OVER w OR kind IN ('heading', 'quote') THEN 1 ELSE 0 END AS cut FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+ g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY no) AS grp FROM c),
+ b AS (SELECT doc_id, grp, any_value(kind) AS kind, trim(regexp_replace(regexp_replace(string_agg(regexp_replace(t, CASE kind WHEN 'heading' THEN '^#+ ?' WHEN 'quote' THEN '^> ?' ELSE '^$' END, ''), ' ' ORDER BY no), '[*_~]', '', 'g'), ' +', ' ', 'g')) AS text FROM g WHERE kind <> 'none' GROUP BY doc_id, grp)
+SELECT doc_id, CASE WHEN kind = 'heading' THEN 'heading' WHEN kind = 'quote' AND regexp_matches(text, '[\x{{0600}}-\x{{06FF}}\x{{0750}}-\x{{077F}}]') THEN 'verse' ELSE 'paragraph' END AS type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM b WHERE text <> '' GROUP BY ALL"""
+
+
+@query(IMPORT_SQL)
 def markdown_import(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return layout.from_markdown(docs).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query()
+def markdown_blocks(spark, sf_dir):
+    return layout.from_markdown(fx.MARKDOWN.df(spark), "text", "id")
+
+
+@query()
+def html_fragments(spark, sf_dir):
+    return fx.HTML.df(spark).select("id", markup.html_to_text(F.col("html")).alias("text"))
+
+
+@query(
+    # a script's body is text; the one tag that some have in a string is set aside meanwhile
+    r"""SELECT page_id, sha256(t) AS text_sha256, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"' || chr(1) || '/p>"'), '<!--.*?-->', '', 'gs'), '<!doctype[^>]*>', '', 'gi'), '</?(br|div|li|p|section|table|td|th|tr)(\s[^>]*)?/?>', ' ', 'gi'), '</?[a-zA-Z][^>]*>', '', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1), '<'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM pages)"""
+)
 def html_text(spark, sf_dir):
-    from codexa.functions import markup
+    text = markup.html_to_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text, 256).alias("text_sha256"), F.length(text).alias("n_chars"))
+
+
+@query()
+def figures_placed(spark, sf_dir):
+    rows = fx.FIGURE_BLOCKS.df(spark).withColumns({c: F.lit(None).cast("string") for c in ("verse_key", "hadith_ref", "dominant_role")})
+    return layout.with_figures(rows, fx.FIGURES.df(spark)).select("doc_id", "block_seq", "page", "type", "text", "figure_type", "caption")
+
+
+@query()
+def figures_rendered(spark, sf_dir):
+    md, flat = layout.rendered_figure(*[F.col(c) for c in ("kind", "label", "caption", "description")])
+    return fx.FIGURES.df(spark).select("doc_id", "fig", md.alias("markdown"), flat.alias("plain"))
+
+
+@query()
+def blocks_rendered(spark, sf_dir):
+    rows = fx.RENDER.df(spark)
+    md, flat = layout.rendered({c: F.col(c) for c in ("type", "text", "verse_key", "hadith_ref", "dominant_role")})
+    return rows.select("id", md.alias("markdown"), flat.alias("plain"))
+
+
+@query()
+def structured_documents(spark, sf_dir):
+    return layout.structured_blocks(fx.STRUCTURED.df(spark))
+
+
+@query()
+def blocks_of_words(spark, sf_dir):
+    """Segmentation by role, verse, report, section, page and gap; types and references of blocks."""
+    rows = fx.POSITIONED.df(spark).withColumn("ord", F.col("word_no").cast("long"))
+    return layout.blocks(rows).select("doc_id", "block_seq", "type", "text", "page", "verse_key", "hadith_ref", "dominant_role")
 
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(markup.html_to_text(F.col("html")), 256).alias("text_sha256"), F.length(markup.html_to_text(F.col("html"))).alias("n_chars"))
+
+LETTERS_SQL = r"(length(text) - length(regexp_replace(text, '\p{L}', '', 'g')))"
+
+
+@query(f"SELECT doc_id, CASE WHEN sum({_n('text', AR_SQL)}) / greatest(sum({LETTERS_SQL}), 1) > 0.3 THEN 'ar' ELSE 'en' END AS language, CAST(sum(n_words) AS BIGINT) AS word_count, count(*) AS block_count, CAST(0 AS BIGINT) AS figure_count FROM {BLOCKS_SQL} GROUP BY doc_id")
+def document_summary(spark, sf_dir):
+    rows = turns_as_words(spark, sf_dir)
+    return layout.document_rows(layout.blocks(rows), rows)
 
 
 # -- structured sources --------------------------------------------------------------------------------
@@ -315,7 +509,7 @@ def html_text(spark, sf_dir):
         CASE WHEN kind = 'year_of_death' THEN 'Year of death: ' ELSE '' END || text AS text FROM {fx.BLOCKS.sql()} WINDOW w AS (ORDER BY ord ROWS UNBOUNDED PRECEDING)) WHERE kind <> 'pageNumber'"""
 )
 def source_pages(spark, sf_dir):
-    b = sources.with_pages(fx.BLOCKS.df(spark))
+    b = sources.with_pages(fx.BLOCKS.df(spark).withColumn("doc", F.lit(1)), ["doc"])
     return b.select("ord", "page", "volume", sources.normal_kind(F.col("kind"), F.col("text")).alias("type"), sources.labelled(F.col("kind"), F.col("text")).alias("text"))
 
 
@@ -327,7 +521,7 @@ def source_blocks(spark, sf_dir):
 
 @query()
 def source_inline(spark, sf_dir):
-    return sources.inline_parts(fx.SOURCE_LINES.df(spark).filter("ord between 7 and 8"))
+    return sources.inline_parts(fx.SOURCE_LINES.df(spark))
 
 
 @query(f"SELECT trim(regexp_extract(line, '^#META# *([^:]*?) *::', 1)) AS key, CASE WHEN trim(regexp_extract(line, ':: *(.*)$', 1)) NOT IN ('', 'NODATA', 'NOTGIVEN') THEN trim(regexp_extract(line, ':: *(.*)$', 1)) END AS value FROM {fx.SOURCE_LINES.sql()} WHERE starts_with(line, '#META#')")
@@ -340,9 +534,36 @@ def catalogue_lookup(spark, sf_dir):
     return sources.catalogue_row(fx.CATALOGUE.df(spark), "0505Ghazali.Ihya").select("book", "version", "id", "url")
 
 
-@query("SELECT page_id, false AS accepted FROM pages")
+@query()
+def parsed_payloads(spark, sf_dir):
+    return sources.normal_blocks(fx.PAYLOADS.df(spark))
+
+
+@query()
+def payload_pages(spark, sf_dir):
+    rows = sources.page_lists(sources.normal_blocks(fx.PAYLOADS.df(spark)))
+    return joined(rows.join(sources.first_title(fx.PAYLOADS.df(spark)), "id"))
+
+
+@query()
+def payload_layout(spark, sf_dir):
+    rows = sources.layout_rows(fx.SECTIONS.df(spark))
+    return rows.select("id", "ord", "part", "kind", sources.block_text(*[F.col(c) for c in ("kind", "text", "part_a", "part_b")]).alias("text"), "level", "volume", "page")
+
+
+@query()
+def source_prefixes(spark, sf_dir):
+    return fx.SOURCE_LINES.df(spark).select("ord", sources.prefixed(F.col("line")).alias("line"), X.strip_markers(F.col("line")).alias("bare"))
+
+
+@query()
 def source_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", sources.source_url(F.col("url")).isNotNull().alias("accepted"))
+    return fx.URLS.df(spark).select("id", sources.source_url(F.col("url")).alias("raw"))
+
+
+@query()
+def source_structures(spark, sf_dir):
+    return joined(sources.structures(fx.BOOKS.df(spark), "text", "id").drop("structure"))
 
 
 @query("SELECT doc_id, count(*) AS paragraphs, count(DISTINCT structure) AS structures FROM (SELECT doc_id, 0 AS structure FROM documents WHERE trim(text) <> '') GROUP BY doc_id")
@@ -353,9 +574,9 @@ def paragraph_numbering(spark, sf_dir):
 
 # -- alignment -----------------------------------------------------------------------------------------
 def aligned(spark):
-    paragraphs = fx.PARAGRAPHS.df(spark)
+    paragraphs = align.numbered(fx.PARAGRAPHS.df(spark))
     found = align.links(paragraphs)
-    rec = align.recommended(found)
+    rec = keep(align.recommended(found), "recommended")
     return paragraphs, found, rec, align.review_queue(rec, F.lit("ar-hash"), F.lit("en-hash"))
 
 
@@ -376,12 +597,12 @@ def align_sentences(spark, sf_dir):
 
 @query()
 def align_recommend(spark, sf_dir):
-    return joined(aligned(spark)[2])
+    return joined(aligned(spark)[2].withColumn("confidence", F.round("confidence", 6)))
 
 
 @query()
 def review_queue(spark, sf_dir):
-    return joined(aligned(spark)[3])
+    return joined(aligned(spark)[3].withColumn("confidence", F.round("confidence", 6)))
 
 
 @query()
@@ -389,34 +610,59 @@ def alignment_diagnostics(spark, sf_dir):
     return align.diagnostics(*aligned(spark))
 
 
-@query("SELECT fault, CAST(0 AS BIGINT) AS n FROM (VALUES ('paragraph_link'), ('sentence_link'), ('recommendation'), ('review')) t(fault)")
+@query()
+def structural_pairs(spark, sf_dir):
+    return joined(words.structural_links(align.structures_of(align.numbered(fx.PARAGRAPHS.df(spark)))))
+
+
+@query()
+def sentence_numbers(spark, sf_dir):
+    return align.sentence_rows(aligned(spark)[1])
+
+
+@query()
 def alignment_faults(spark, sf_dir):
-    return align.faults(*aligned(spark))
+    """A valid result has none; the same result with a broken reference or clamp of each kind has those."""
+    paragraphs, found, rec, queue = aligned(spark)
+    swap = lambda df, where, c, ids: df.withColumn(c, F.when(F.expr(where), F.array(*map(F.lit, ids))).otherwise(F.col(c)))
+    bad = swap(found, "work = 'w1' and level = 'paragraph' and link = 0", "en_ids", ["en:u0009:p0000"])
+    bad = swap(bad, "work = 'w4' and level = 'paragraph' and pair = 0", "en_ids", ["en:u0001:p0000"])
+    bad = swap(bad, "work = 'w4' and level = 'sentence' and pair = 1", "ar_ids", ["ar:u0007:p0000:s0000"])
+    wrong = swap(rec, "work = 'w2' and link = 0", "en_ids", ["en:u0003:p0000"])
+    broken = align.faults(paragraphs, bad, wrong, queue.withColumn("link", F.when(F.col("work") == "w3", 99).otherwise(F.col("link"))))
+    return align.faults(paragraphs, found, rec, queue).withColumnRenamed("n", "valid").join(broken.withColumnRenamed("n", "broken"), "fault")
 
 
 @query()
 def review_judged(spark, sf_dir):
     queue = aligned(spark)[3]
-    verdicts = queue.select("review_id", F.when(F.col("link") % 2 == 0, "accept").otherwise("reject").alias("verdict"), (F.lit(0.7) + F.col("link") * 0.1).alias("confidence"))
-    return align.judged(queue, verdicts).groupBy("status").agg(F.count("*").alias("n"))
+    told = F.when(F.col("link") % 2 == 0, "aligned").otherwise("wrong")
+    verdicts = align.judge_queue(queue, 3).select("review_id", told.alias("verdict"), (F.lit(0.7) + F.col("link") * 0.1).alias("confidence"))
+    return align.judged(queue, verdicts).select("work", "link", "status")
 
 
 @query()
 def corrections_applied(spark, sf_dir):
     _, _, rec, queue = aligned(spark)
     act = F.when(F.col("link") == 0, "accept").when(F.col("link") == 1, "reject").otherwise("replace")
-    fixes = queue.select("review_id", act.alias("action"), F.lit("paragraph").alias("new_resolution"), F.array(F.lit("ar:u0001:p0001")).alias("new_ar"), F.lit(None).cast("array<string>").alias("new_en"))
-    return joined(align.corrected(rec, queue, fixes)[0])
+    fixes = queue.select("review_id", act.alias("action"), F.lit("paragraph").alias("new_resolution"), F.array(F.lit("ar:u0000:p0000")).alias("new_ar"), F.lit(None).cast("array<string>").alias("new_en"))
+    return joined(align.corrected(rec, queue, fixes)[0].withColumn("confidence", F.round("confidence", 6)))
+
+
+@query()
+def corrections_stale(spark, sf_dir):
+    queue = aligned(spark)[3]
+    first = queue.filter("work = 'w3'").select("review_id")
+    fixes = first.unionByName(first).unionByName(spark.createDataFrame([("review:none",)], "review_id string")).withColumn("action", F.lit("accept"))
+    return align.stale(queue, fixes).select(F.when(F.col("fault") == "stale", F.col("review_id")).alias("review_id"), "fault")
 
 
 @query()
 def gold_metrics(spark, sf_dir):
-    paragraphs, found, _, _ = aligned(spark)
-    units = found.filter("level = 'paragraph'").select("work", F.explode(F.concat("ar_all", "en_all")).alias("id")).distinct()
-    side = F.substring("id", 1, 2)
-    order = units.select("work", "id", (F.row_number().over(Window.partitionBy("work", side).orderBy("id")) - 1).alias("pos"), F.regexp_extract("id", r"^(.*):s\d+$", 1).alias("paragraph"))
-    gold = found.filter("level = 'sentence' and size(ar_ids) > 0 and size(en_ids) > 0").select("work", F.concat_ws("-", F.lit("g"), "parent", "link").alias("id"), "ar_ids", "en_ids")
-    return align.sentence_metrics(found, order, gold)
+    """Sentence links and gold of one work, written out: an exact link, one off by one, one in another paragraph, one missing."""
+    found = spark.createDataFrame([(w, 0, *rest) for w, *rest in fx.GOLD_LINKS], "work string, pair int, level string, link int, ar_ids array<string>, en_ids array<string>, ar_all array<string>, en_all array<string>")
+    gold = spark.createDataFrame(fx.GOLD_ROWS, "work string, id string, ar_ids array<string>, en_ids array<string>")
+    return translate.gold_metrics(found, gold, fx.PARAGRAPHS.df(spark))
 
 
 REGION_SQL = r"""WITH lines AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
@@ -437,39 +683,53 @@ def region_match(spark, sf_dir):
 
 @query()
 def region_metrics(spark, sf_dir):
-    m = region_match(spark, sf_dir)
-    return align.region_metrics(m.select(F.col("first_pos").alias("gold_first"), F.col("last_pos").alias("gold_last"), F.when(F.col("doc") % 3 > 0, F.col("first_pos") - F.col("doc") % 2).alias("first"), F.col("last_pos").alias("last")))
+    """Passage gold of two works: one whole paragraph each, a passage of two, and one that no paragraph has."""
+    paragraphs = align.numbered(fx.PARAGRAPHS.df(spark))
+    return translate.gold_metrics(align.links(paragraphs), fx.REGIONS.df(spark), paragraphs)
 
 
 PAIRS_SQL = "(SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding, b.embedding) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"
 
 
-@query(
-    f"""SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(sim, 5) DESC, j) AS r, row_number() OVER (PARTITION BY j ORDER BY round(sim, 5) DESC, i) AS c, round(sim, 5) AS s, lead(round(sim, 5)) OVER (PARTITION BY i ORDER BY round(sim, 5) DESC, j) AS second FROM {PAIRS_SQL})
-        WHERE r = 1 AND c = 1 AND s >= 0.2 AND coalesce(s - second, 1) >= 0.001"""
-)
+RANKED_SQL = f"(SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY round(sim, 5) DESC, j) AS r, row_number() OVER (PARTITION BY j ORDER BY round(sim, 5) DESC, i) AS c, round(sim, 5) AS s, lead(round(sim, 5)) OVER (PARTITION BY i ORDER BY round(sim, 5) DESC, j) AS second FROM {PAIRS_SQL})"
+
+
+def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Even and odd vectors; a label stands for a pair of texts."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return v.filter("id % 2 = 0"), v.filter("id % 2 = 1")
+
+
+@query(f"SELECT i, j, s AS sim FROM {RANKED_SQL} WHERE r = 1 AND c = 1")
+def nearest_mutual(spark, sf_dir):
+    """All mutual nearest neighbours of even and odd vectors inside a label."""
+    return align.mutual_best(align.best_of_blocks(*halves(spark, sf_dir)), least=-1.0, margin=0.0)
+
+
+@query(f"SELECT i, j FROM {RANKED_SQL} WHERE r = 1 AND c = 1 AND s >= 0.62 AND coalesce(round(s - second, 9), 1) >= 0.025")
 def waypoints(spark, sf_dir):
-    """Mutual nearest neighbours of even and odd vectors inside a label, which stands for a pair of texts."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot("v", "v")))
-    a, b = (v.filter(F.col("vec_id") % 2 == k).select(F.col("vec_id").alias(n), "label", F.col("v").alias(f"v{n}"), F.col("norm").alias(f"n{n}")) for k, n in ((0, "i"), (1, "j")))
-    pairs = a.join(b, "label").select("i", "j", F.round(dot("vi", "vj") / (F.col("ni") * F.col("nj")), 5).alias("sim"))
-    return align.mutual_best(pairs, least=0.2, margin=0.001).select("i", "j")
+    """Those with the similarity and lead that make a waypoint."""
+    return align.mutual_best(align.best_of_blocks(*halves(spark, sf_dir))).select("i", "j")
 
 
-@query()
-def sentence_split(spark, sf_dir):
-    from codexa.functions import markup
+# pieces up to end marks; a boundary follows a piece unless its last word is an abbreviation or what follows begins with neither a quote nor a capital
+SPLIT_SQL = r"""WITH p AS (SELECT doc_id, regexp_extract_all(trim(text), '[^.!?]*[.!?]+["”’]*|[^.!?]+$') AS p FROM documents),
+ m AS (SELECT doc_id, p, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = len(p) THEN '' WHEN regexp_matches(array_to_string(p[greatest(1, i - 3):i], ''), '(?i)(^|[^\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|St|No|vol|pp|cf|viz|i\.e|e\.g)\.$') OR NOT regexp_matches(p[i + 1], '^[\s\p{Z}]*["“‘\p{Lu}]') THEN '' ELSE chr(1) END) AS e FROM p),
+ s AS (SELECT doc_id, list_transform(string_split(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || e[i]), ''), chr(1)), lambda x: trim(regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) AS s FROM m)
+SELECT doc_id, CAST(len(list_filter(s, lambda x: x <> '')) AS INTEGER) AS n, sha256(array_to_string(list_filter(s, lambda x: x <> ''), chr(10))) AS sha256 FROM s"""
 
+
+@query(SPLIT_SQL)
+def sentence_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", markup.sentences(F.col("text"), "en").alias("s")).select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\n"), 256).alias("sha256"))
 
 
-@query("SELECT CAST(m AS DOUBLE) AS memory, rt AS runtime, CASE WHEN NOT rt OR m < 8 THEN 'basic' WHEN m < 24 THEN 'balanced' ELSE 'thorough' END AS profile FROM (VALUES (4.0, true), (16.0, true), (64.0, true), (64.0, false)) t(m, rt)")
+@query()
 def capability_profile(spark, sf_dir):
-    t = spark.createDataFrame([(4.0, True), (16.0, True), (64.0, True), (64.0, False)], "memory double, runtime boolean")
-    return t.select("memory", "runtime", align.profile(F.col("memory"), F.col("runtime")).alias("profile"))
+    t = spark.createDataFrame(fx.MACHINES, "id int, memory double, runtime boolean, models array<string>, judge boolean")
+    a = align.advice(*[F.col(c) for c in ("memory", "runtime", "models", "judge")])
+    return t.select("id", a.alias("a")).select("id", "a.profile", "a.scope", "a.judge", F.array_join("a.notes", " ").alias("notes"))
 
 
 # -- word rows and compositions ----------------------------------------------------------------------
@@ -502,17 +762,20 @@ def extraction_stats(spark, sf_dir):
     return joined(extract.extract(fx.BOXES.df(spark), fx.SPANS.df(spark), fx.GLYPHS.df(spark))["stats"])
 
 
-@query(f"SELECT page, string_agg(text, ' ' ORDER BY word_no) AS original_text, count(*) AS word_count FROM {fx.BOXES.sql()} GROUP BY page")
+@query(f"SELECT type, count(*) AS n FROM (SELECT CASE WHEN kind IN ('title', 'category') OR starts_with(kind, 'header-') THEN 'heading' WHEN kind = 'verse' OR (kind = 'blockquote' AND regexp_matches(text, '{AR_SQL}')) THEN 'verse' ELSE 'paragraph' END AS type FROM {fx.BLOCKS.sql()} WHERE kind <> 'pageNumber') GROUP BY type")
+def block_counts(spark, sf_dir):
+    """Blocks of each type, as a renderer reports them."""
+    b = fx.BLOCKS.df(spark).filter("kind <> 'pageNumber'")
+    return b.select(sources.normal_kind(F.col("kind"), F.col("text")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
 def page_repair(spark, sf_dir):
     fixed = pages.fonts_of_words(fx.BOXES.df(spark), fx.SPANS.df(spark))
-    return words.repaired_pages(fixed).select("page", "original_text", "word_count")
+    return words.repaired_pages(fixed).select("page", "original_text", "repaired_text", "word_count")
 
 
 @query()
 def translation_tables(spark, sf_dir):
     out = translate.translate(fx.PARAGRAPHS.df(spark))
     return out["diagnostics"]
-
-
-def line_counts(n: int, first: int, full: int) -> list[int]:
-    return A.balanced_counts(n, first, full)

@@ -26,7 +26,8 @@ def one(spark, f, *values):
         ("Shā\x7fʿīs", "Shāfiʿīs"),
         ("\x7fnancial", "financial"),
         ("ﬁn ﬂow ﬀ ﬃ ﬄ ﬅ ﬆ", "fin flow ff ffi ffl ft st"),
-        ("a||b", "a|ffb"),
+        ("a||b", "a||b"),
+            ("gender-di|erentiated o|, o|.", "gender-differentiated off, off."),
         ("", ""),
         ("1 \x7f 2", "1 \x7f 2"),
     ],
@@ -54,6 +55,15 @@ def test_ligatures(spark, text, want):
         (X.entry_heading, "12 - x", "١٢ - x"),
         (X.looks_like_heading, "CHAPTER 3", True),
         (X.looks_like_heading, "an ordinary line of text", False),
+        (X.looks_like_heading, "I went home yesterday", False),
+        (X.looks_like_heading, "12 men came to the city", False),
+        (X.looks_like_heading, "Ode to joy", True),
+        (X.looks_like_heading, "3) next", True),
+        (X.strip_markers, "forms12 x 12ms PageV01P002 +", "forms12 x"),
+        (X.protect_ltr, "ربيعة (2) بن حارثة", "ربيعة \u2066(2)\u2069 بن حارثة"),
+        (X.visual_order, "ربيعة \u2066(2)\u2069 بن حارثة\u0640", "ةثراح نب )2( ةعيبر"),
+        (X.visual_order, "عَلِيّ", "يّلِعَ"),
+        (X.numbers, "१२ ٣ x", ["12", "3"]),
         (X.usable, "NODATA", None),
         (X.work_id, "0505Ghazali.Ihya.Shamela-ara1", "0505Ghazali.Ihya"),
     ],
@@ -63,8 +73,9 @@ def test_scalars(spark, f, text, want):
 
 
 def test_similarity(spark):
-    assert one(spark, X.similarity, "abcd", "abxd") == pytest.approx(0.75)
-    assert one(spark, X.similarity, " ", "x") == 0.0
+    assert one(spark, markup.similarity, "abcd", "abxd") == pytest.approx(0.75)
+    assert one(spark, markup.similarity, "ABC", "abc") == 1.0
+    assert one(spark, markup.similarity, " ", "x") == 0.0
 
 
 def test_nulls_do_not_fail(spark):
@@ -73,8 +84,8 @@ def test_nulls_do_not_fail(spark):
 
 
 def test_markup(spark):
-    assert markup.plain_html("<p>a &amp; b</p><script>x</script><br>c .") == "a & b x c."
-    assert markup.plain_markdown("**a** [b](c(d)) ![e](f) `g_h` ```x``` i") == "a b   g_h  i"
+    assert markup.plain_html("<p>a &amp; b</p><script>x</script><br>c .") == "a & b x c ."
+    assert markup.plain_markdown("**a** [b](c(d)) ![e](f) `g_h` ```x``` i") == "a b g_h i"
     assert markup.normal("  Ａl-ﬁ, أَحمد ") == "alfi احمد"
     assert one(spark, markup.html_to_text, "<td>a</td><td>b</td>") == "a b"
 
@@ -123,8 +134,62 @@ def test_waypoint_cost():
 
 
 def test_line_counts_have_no_lone_lines():
+    assert A.balanced_counts(5, 3, 40) == [3, 2] and A.balanced_counts(4, 3, 40) == [0, 4]
+    assert A.balanced_counts(41, 40, 40) == [39, 2] and A.balanced_counts(44, 2, 40) == [0, 40, 4]
+    assert A.balanced_counts(32, 30, 30, after=6) == [26, 6]
     assert A.balanced_counts(10, 20, 20) == [10]
     for n in range(3, 60):
         counts = A.balanced_counts(n, 5, 20)
         assert sum(counts) == n
         assert all(c != 1 for c in counts)
+
+
+def test_best_steps_are_those_of_every_cell():
+    """Rows filled by whole moves give the path that a search of each cell gives."""
+    rng = np.random.default_rng(3)
+    for moves in (A.PARAGRAPH_MOVES, A.SENTENCE_MOVES):
+        for _ in range(15):
+            n, m = (int(x) for x in rng.integers(1, 9, 2))
+            scores = {(a, e): rng.integers(-3, 4, (n - a + 1, m - e + 1)) / 4 for a, e in moves if a and e and a <= n and e <= m}
+            rank = sorted(range(len(moves)), key=lambda k: (-moves[k][0], -moves[k][1], k))
+            best, want = {(0, 0): 0.0}, np.full((n + 1, m + 1), -1)
+            for i in range(n + 1):
+                for j in range(m + 1):
+                    for k in rank:
+                        a, e = moves[k]
+                        if (i - a, j - e) in best and (a or e):
+                            value = best[i - a, j - e] + (scores[a, e][i - a, j - e] if a and e else -1.1)
+                            if value > best.get((i, j), -np.inf):
+                                best[i, j], want[i, j] = value, k
+            assert (A.best_steps(n, m, moves, scores, 1.1) == want).all()
+
+
+def test_landmarks_from_the_index_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    names = [("القشيري", "Qushayri"), ("الغزالي", "Ghazali"), ("بغداد", "Baghdad"), ("خالد", "Khalid")]
+    for _ in range(30):
+        arabic, english = [], []
+        for side, out in ((0, arabic), (1, english)):
+            for _ in range(int(rng.integers(1, 7))):
+                own = [names[k][side] for k in rng.integers(0, 4, int(rng.integers(0, 3)))] + [str(x) for x in rng.integers(10, 16, int(rng.integers(0, 2)))]
+                out.append(("قال " if not side else "he saw ") + " ثم ".join(own) if not side else "he saw " + " and ".join(own))
+        a, e = A.Side(arabic, True), A.Side(english, False)
+        count = lambda s: {x: sum(x in own for own in s.numbers) for own in s.numbers for x in own}
+        ca, ce = count(a), count(e)
+        anchors = [set(A.name_skeletons(u, strict=True)) for u in english]
+        found = {}
+        for j in range(e.n):
+            scored = []
+            for i in range(a.n):
+                shared, numbers, _ = A.shared_evidence(arabic[i], english[j])
+                unique = [x for x in numbers if ca[x] == 1 and ce[x] == 1]
+                rare = [n for n in shared if 1 <= sum(n in own for own in anchors) <= 2]
+                mass = sum(map(len, rare))
+                if unique or (len(rare) >= 2 and mass >= 7):
+                    scored.append((mass + (20 + 6 * len(unique) if unique else 0), i, [f"number:{x}" for x in unique] + [f"name:{n}" for n in rare]))
+            scored.sort(key=lambda x: x[:2], reverse=True)
+            if scored and (any(m.startswith("number") for m in scored[0][2]) or scored[0][0] - (scored[1][0] if len(scored) > 1 else 0) >= 3):
+                score, i, marks = scored[0]
+                if i not in found or score > found[i][2]:
+                    found[i] = (i, j, score, marks)
+        assert A.landmarks(a, e) == A.monotone(list(found.values()))

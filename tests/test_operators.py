@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def test_markdown_import(spark):
 
 
 def test_page_marks(spark):
-    got = sources.with_pages(fx.BLOCKS.df(spark)).orderBy("ord").collect()
+    got = sources.with_pages(fx.BLOCKS.df(spark).withColumn("doc", F.lit(1)), ["doc"]).orderBy("ord").collect()
     assert [r["page"] for r in got] == [1, 1, 218, 218, 218, 218, 219, 219]
 
 
@@ -109,14 +110,13 @@ def test_boxes(spark):
 def test_trees(spark):
     tree = json.dumps({"children": [{"block_type": "SectionHeader", "html": "<h1>A</h1>"}, {"block_type": "Page", "children": [{"block_type": "Text", "html": "<p>b</p>"}, {"block_type": "Zed", "html": "no"}]}]})
     got = words.tree_blocks(spark.createDataFrame([(1, tree), (2, '{"html": "only"}'), (3, "bad"), (4, None)], "id int, tree string")).orderBy("id", "block_seq").collect()
-    assert [(r["id"], r["type"], r["text"]) for r in got] == [(1, "heading", "A"), (1, "paragraph", "b"), (2, "paragraph", "only")]
+    assert [(r["id"], r["type"], r["text"]) for r in got] == [(1, "heading", "A"), (1, "paragraph", "b")]
 
 
 def test_structural_links(spark):
-    rows = [(w, lang, k, f"{lang}:u{k}") for w in ("p", "q") for lang in ("ar", "en") for k in range(2)]
-    masses = spark.createDataFrame([("p", 0, 6), ("p", 1, 9), ("q", 0, 6), ("q", 1, 0)], "work string, sequence int, mass int")
-    got = {(r["work"], r["method"]) for r in words.structural_links(spark.createDataFrame(rows, "work string, lang string, sequence int, id string"), masses).collect()}
-    assert got == {("p", "structure_pair"), ("q", "whole_book")}
+    rows = [(w, lang, k, f"{lang}:u{k}", heading) for w, heads in (("p", ("الباب {}", "Chapter {}")), ("q", ("باب", "Part {}"))) for lang, text in zip(("ar", "en"), heads, strict=True) for k in range(2) for heading in [text.format(k + 1)]]
+    got = {(r["work"], r["method"], r["confidence"]) for r in words.structural_links(spark.createDataFrame(rows, "work string, lang string, sequence int, id string, heading string")).collect()}
+    assert got == {("p", "bilateral_structure_sequence", 0.92), ("q", "whole_book_unanchored", 0.2)}
 
 
 def test_stale_corrections(spark):
@@ -134,10 +134,10 @@ def test_urls(spark):
 def test_structures(spark):
     text = "intro before\n\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nCHAPTER 1\n\nFirst one.\n\nSecond one here.\n\nCHAPTER 2\n\nCHAPTER 3\n\n[Footnote 1: note]\n\nThird one.\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***"
     got = sources.structures(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("structure", "sequence").collect()
-    body = [(r["structure"], r["heading"], r["text"]) for r in got if "paratext" not in r["flags"]]
+    body = [(r["structure"], r["heading"], r["text"]) for r in got if "gutenberg_boilerplate" not in r["flags"]]
     assert (body[0][2], body[0][1]) == ("First one.", "CHAPTER 1")
     assert body[-1][1:] == ("CHAPTER 3", "Third one.")
-    assert [r["flags"] for r in got if r["text"].startswith("[Footnote")] == [["footnote"]]
+    assert [r["flags"] for r in got if r["text"].startswith("[Footnote")] == [["exclude_from_alignment", "footnote"]]
 
 
 def test_texts_and_maps(spark, tmp_path):
@@ -194,8 +194,38 @@ def test_translation(spark, tmp_path):
     out = translate.translate(paragraphs, corrections=spark.createDataFrame([("review:none", "accept", None, None, None)], "review_id string, action string, new_resolution string, new_ar array<string>, new_en array<string>"))
     assert [tuple(r) for r in out["faults"].collect()] == [("stale", 1)]
     assert out["links"].filter("array_contains(flags, 'hard_landmark')").count() == 1
-    assert translate.save(out, "w", str(tmp_path / "b")).count() == 4
-    assert files.bundle_faults(spark, str(tmp_path / "b"), ["links", "recommended", "queue", "diagnostics"]).count() == 0
+    assert translate.save(out, "w", str(tmp_path / "b")).count() == 5
+    assert files.bundle_faults(spark, str(tmp_path / "b"), ["links", "sentences", "recommended", "queue", "diagnostics"]).count() == 0
+
+
+def test_a_long_work_is_many_groups(spark):
+    """Landmarks cut a work into intervals, each a group of its own; numbers run through the work."""
+    rows = [("w", lang, 0, "", k, text.format(k=k, mark=mark)) for k in range(60) for mark in [f" {1000 + k}" if k % 10 == 5 else ""] for lang, text in (("ar", "نص الفقرة{mark} كلمة"), ("en", "the text{mark} of it"))]
+    found = align.links(spark.createDataFrame(rows, "work string, lang string, structure int, heading string, seq int, text string"))
+    own = found.filter("level = 'paragraph'").orderBy("link").collect()
+    assert {r["interval"] for r in own} == set(range(7))
+    assert [r["link"] for r in own] == list(range(60))
+    assert [(r["ar_ids"], r["en_ids"]) for r in own] == [([f"ar:u0000:p{k:04d}"], [f"en:u0000:p{k:04d}"]) for k in range(60)]
+
+
+def test_vectors_score_paragraphs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(8, 16))
+    rows = [("w", lang, k, "كلمة" if lang == "ar" else "word", (base[k] + rng.normal(size=16) * 0.05).tolist()) for lang in ("ar", "en") for k in range(8)]
+    found = align.links(spark.createDataFrame(rows, "work string, lang string, seq int, text string, vector array<double>")).filter("level = 'paragraph'").orderBy("link").collect()
+    assert [r["operation"] for r in found] == ["1-1"] * 8 and found[0]["waypoints"] >= 5
+
+
+def test_unknown_gold_fails(spark):
+    found = spark.createDataFrame([(w, 0, *rest) for w, *rest in fx.GOLD_LINKS], "work string, pair int, level string, link int, ar_ids array<string>, en_ids array<string>, ar_all array<string>, en_all array<string>")
+    gold = spark.createDataFrame([("g1", "x", ["ar:u0000:p0000:s0000"], ["en:u0000:p0077:s0000"])], "work string, id string, ar_ids array<string>, en_ids array<string>")
+    with pytest.raises(Exception, match="unknown sentence"):
+        align.sentence_metrics(found, gold).collect()
+
+
+def test_payloads_of_other_shapes_fail(spark):
+    with pytest.raises(Exception, match="list of blocks"):
+        sources.parsed_blocks(spark.createDataFrame([(1, '{"x": 1}')], "id int, payload string")).collect()
 
 
 def test_elongations():
