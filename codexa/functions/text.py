@@ -362,6 +362,11 @@ def usable(c: Column) -> Column:
     return F.when((value != "") & ~F.upper(value).isin("NODATA", "NOTGIVEN"), value)
 
 
+def first_usable(values: Column, *keys: str) -> Column:
+    """The first usable value of a metadata map's keys, in the order given; empty if there is none."""
+    return F.coalesce(*[usable(F.try_element_at(values, F.lit(k))) for k in keys], F.lit(""))
+
+
 def work_id(name: Column) -> Column:
     """The first two dotted parts of a file name, else its stem."""
     return F.when(F.size(F.split(name, r"\.")) >= 2, F.substring_index(name, ".", 2)).otherwise(name)

@@ -116,6 +116,11 @@ def words_checksum(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(F.substring(F.sha2(lines, 256), 1, 16).alias("checksum"))
 
 
+def cache_key(words: Column, figures: Column) -> Column:
+    """First 16 hex digits of the hash of two checksums and the builder's version; no figures: an empty checksum."""
+    return F.substring(F.sha2(F.concat_ws("+", words, F.lit(BUILDER), F.coalesce(figures, F.lit(""))), 256), 1, 16)
+
+
 def from_markdown(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Blocks of Markdown texts: headings, quotes and paragraphs; fenced code is left out and ends no paragraph."""
     lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), pages.LINE_ENDS)).alias("line_no", "line"))

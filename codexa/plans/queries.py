@@ -419,6 +419,12 @@ def markdown_render(spark, sf_dir):
     return m.select("doc_id", F.sha2("markdown", 256).alias("markdown_sha256"), "n_blocks")
 
 
+@query(f"SELECT doc_id, substr(sha256(checksum || '+codexa-1+'), 1, 16) AS cache_key FROM (SELECT conv_id AS doc_id, substr(sha256(string_agg(text || '|' || coalesce(role, '') || '||' || turn, chr(10) ORDER BY turn, word_no)), 1, 16) AS checksum FROM {WORDS_SQL} GROUP BY conv_id)")
+def cache_keys(spark, sf_dir):
+    sums = layout.words_checksum(turns_as_words(spark, sf_dir))
+    return sums.select("doc_id", layout.cache_key(F.col("checksum"), F.lit(None).cast("string")).alias("cache_key"))
+
+
 @query(f"SELECT conv_id AS doc_id, substr(sha256(string_agg(text || '|' || coalesce(role, '') || '||' || turn, chr(10) ORDER BY turn, word_no)), 1, 16) AS checksum FROM {WORDS_SQL} GROUP BY conv_id")
 def words_checksum(spark, sf_dir):
     return layout.words_checksum(turns_as_words(spark, sf_dir))
@@ -529,6 +535,13 @@ def source_metadata(spark, sf_dir):
     return sources.header_metadata(fx.SOURCE_LINES.df(spark))
 
 
+@query(f"SELECT coalesce(max(CASE WHEN k = '020.BookTITLE' THEN v END), max(CASE WHEN k = '010.AuthorNAME' THEN v END), '') AS title FROM (SELECT trim(regexp_extract(line, '^#META# *([^:]*?) *::', 1)) AS k, CASE WHEN trim(regexp_extract(line, ':: *(.*)$', 1)) NOT IN ('', 'NODATA', 'NOTGIVEN') THEN trim(regexp_extract(line, ':: *(.*)$', 1)) END AS v FROM {fx.SOURCE_LINES.sql()} WHERE starts_with(line, '#META#'))")
+def usable_metadata(spark, sf_dir):
+    """A title, or the author where the title isn't given: two rows of metadata as a map."""
+    rows = sources.header_metadata(fx.SOURCE_LINES.df(spark)).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    return rows.select(X.first_usable(F.col("m"), "020.BookTITLE", "010.AuthorNAME").alias("title"))
+
+
 @query(f"SELECT book, version, id, url FROM {fx.CATALOGUE.sql()} WHERE book = '0505Ghazali.Ihya' OR version = '0505Ghazali.Ihya' OR id = '0505Ghazali.Ihya' ORDER BY status <> 'pri', url LIMIT 1")
 def catalogue_lookup(spark, sf_dir):
     return sources.catalogue_row(fx.CATALOGUE.df(spark), "0505Ghazali.Ihya").select("book", "version", "id", "url")

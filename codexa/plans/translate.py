@@ -62,6 +62,10 @@ def translate(paragraphs: DataFrame, verdicts: DataFrame | None = None, correcti
     return out
 
 
+#: Tables of a bundle.
+MEMBERS = ["links", "sentences", "recommended", "queue", "diagnostics"]
+
+
 def save(tables: dict[str, DataFrame], work: str, path: str, force: bool = False) -> DataFrame:
     """The tables as a bundle; returns the manifest."""
-    return files.write_bundle({k: tables[k] for k in ("links", "sentences", "recommended", "queue", "diagnostics")}, work, path, force)
+    return files.write_bundle({k: tables[k] for k in MEMBERS}, work, path, force)

@@ -58,6 +58,16 @@ def write_glyphs(glyphs: DataFrame, path: str) -> None:
     glyphs.repartition("page").write.mode("overwrite").partitionBy("page").parquet(path)
 
 
+def write_texts(docs: DataFrame, path: str, text: str = "markdown", key: str = "doc_id", force: bool = False) -> None:
+    """Documents' Markdown or plain text, a folder for each key; ``write_json`` writes all columns."""
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("value"))
+    rows.write.mode("overwrite" if force else "errorifexists").partitionBy("key").option("lineSep", "\n").text(path)
+
+
+def write_json(docs: DataFrame, path: str, force: bool = False) -> None:
+    docs.write.mode("overwrite" if force else "errorifexists").json(path)
+
+
 # -- bundles -----------------------------------------------------------------------------------
 SCHEMA = "codexa.alignment.bundle.v1"
 

@@ -233,3 +233,27 @@ def test_elongations():
 
     assert elongations("كتب") == [1, 2]
     assert elongations("دار") == [] and elongations("لا") == [] and elongations("abc") == []
+
+
+def test_outputs(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "# a\n\nb"), (2, None)], "doc_id int, markdown string")
+    files.write_texts(docs, str(tmp_path / "md"))
+    assert [p.name for p in (tmp_path / "md").iterdir() if p.is_dir()] == ["key=1"]
+    files.write_json(docs, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_commands(spark, tmp_path, capsys):
+    from codexa.__main__ import main
+
+    assert main(["repair-text", "di|erent ß"]) == 0
+    assert capsys.readouterr().out.strip() == "different ṣ"
+    (tmp_path / "ar.txt").write_text("قال في سنة ٤٣٧ كلاما\n\nثم قال")
+    (tmp_path / "en.txt").write_text("In 437 he spoke.\n\nThen he said more here.")
+    assert main(["detect", str(tmp_path / "en.txt")]) == 0 and '"mojibake_count":0' in capsys.readouterr().out
+    assert main(["classify", str(tmp_path / "ar.txt")]) == 0 and '"page_type":"scanned_arabic"' in capsys.readouterr().out
+    assert main(["align", str(tmp_path / "ar.txt"), str(tmp_path / "en.txt"), "-o", str(tmp_path / "out")]) == 0
+    assert '"paragraph_links":2' in capsys.readouterr().out
+    assert main(["verify-alignment", str(tmp_path / "out")]) == 0
+    assert main(["alignment-doctor", "--memory", "16", "--vectors"]) == 0 and '"profile":"thorough"' in capsys.readouterr().out
+    assert main(["detect", str(tmp_path / "none.txt")]) == 2
