@@ -40,16 +40,19 @@ FACTORS, SHIFTS = seeds(SKETCHES, 1).astype(np.uint32), (seeds(SKETCHES, 2) >> U
 LOWEST = -(1 << 63)
 
 
-def labelled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of (k-mer, occurrence number) pairs and the position of each."""
-    n = len(hashes)
-    low = U(max(1, int(n - 1).bit_length()))
-    place = (U(1) << low) - U(1)
-    packed = np.sort((hashes & ~place) | np.arange(n, dtype=U))
-    kmer, position = packed & ~place, (packed & place).astype(np.int64)
-    first = np.concatenate([[True], kmer[1:] != kmer[:-1]])
-    occurrence = np.arange(n) - np.flatnonzero(first)[np.cumsum(first) - 1]
-    return mix(kmer + occurrence.astype(U)), position
+def labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of (k-mer, occurrence number) pairs, in text order; they depend on the k-mer and its number alone."""
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    occurrence = np.zeros(len(hashes), U)
+    if twice.size:
+        known = np.unique(twice)
+        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        order = at[np.argsort(hashes[at], kind="stable")]
+        kmer = hashes[order]
+        first = np.concatenate([[True], kmer[1:] != kmer[:-1]])
+        occurrence[order] = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return mix(hashes + occurrence * U(0xD1342543DE82EF95))
 
 
 def few(room: np.ndarray, values: np.ndarray, limit: np.uint32) -> np.ndarray:
@@ -70,7 +73,7 @@ def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, size: int = TUPL
     n = len(hashes)
     if not n:
         return np.zeros(sketches, U)
-    label, position = labelled(hashes)
+    label = labelled(hashes)
     upper, out = (label >> U(32)).astype(np.uint32), np.empty(sketches, U)
     take, limit = min(size, n), np.uint32(min(2**32 - 1, int(9.0 * size / n * 2**32)))
     step = max(1, min(sketches, BLOCK // n))
@@ -90,8 +93,7 @@ def order_minhash(hashes: np.ndarray, sketches: int = SKETCHES, size: int = TUPL
             least = np.bincount(row, minlength=rows)
         order = np.argsort(row.astype(U) << U(32) | value[row, col])
         chosen = col[order][(np.cumsum(least) - least)[:, None] + np.arange(take)]
-        in_text = np.argsort(position[chosen], axis=1)
-        tuples = np.take_along_axis(label[chosen], in_text, axis=1)
+        tuples = label[np.sort(chosen, axis=1)]
         entry = np.zeros(rows, U)
         for r in range(take):
             entry = mix(entry * U(31) + tuples[:, r] + U(r + 1))
