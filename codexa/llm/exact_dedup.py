@@ -2,7 +2,7 @@
 
 1. Each scan task keeps an open-addressing table of the texts it has seen and gives equal ones
    one local group; this lessens hot groups before anything moves. The table is emptied whenever
-   its texts exceed ``TASK_BYTES``. Members (no text) and one representative for each local group
+   its texts exceed ``TASK_BYTES`` or its rows ``TASK_ROWS``. Members (no text) and one representative for each local group
    are written to the shared folder.
 2. Representatives are partitioned by content hash into buckets. Buckets whose measured bytes
    exceed ``BUCKET_BYTES`` are partitioned again by further bits of the hash, recursively, until
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from codexa.llm.store import keep, partitions
 from codexa.llm.text import slices
 
-#: Bytes of text that a scan task's table holds, and that one bucket may have.
+#: Bytes of text and rows that a scan task's table holds, and bytes that one bucket may have.
 TASK_BYTES = 32 << 20
+TASK_ROWS = 1 << 18
 BUCKET_BYTES = 32 << 20
 #: Further hash bits at each level of partitioning, and levels at most (64 bits in all).
 LEVEL_BITS = 4
@@ -44,8 +45,8 @@ class ContentTable:
     def __init__(self) -> None:
         self.slots, self.texts, self.hashes, self.bytes = [-1] * 1024, [], [], 0
 
-    def number(self, h: int, content: str) -> int:
-        """The content's number, a new one if it isn't there."""
+    def number(self, h: int, content: str, size: int) -> int:
+        """The content's number, a new one if it isn't there; ``size`` are its bytes."""
         slots, mask = self.slots, len(self.slots) - 1
         at = h & mask
         while (own := slots[at]) >= 0:
@@ -55,7 +56,7 @@ class ContentTable:
         slots[at] = own = len(self.texts)
         self.texts.append(content)
         self.hashes.append(h)
-        self.bytes += len(content)
+        self.bytes += size
         if 2 * len(self.texts) > len(slots):
             self._grow()
         return own
@@ -100,8 +101,9 @@ def local_groups(docs: DataFrame, text: str, key: str, task_bytes: int) -> DataF
         for part in slices(batches, text):
             for own_id, content in zip(part[key].cast(pa.int64()).to_pylist(), part[text].to_pylist(), strict=True):
                 content = content or ""
-                digest = hashlib.sha256(content.encode())
-                own = table.number(int.from_bytes(digest.digest()[:8], "little"), content)
+                raw = content.encode()
+                digest = hashlib.sha256(raw)
+                own = table.number(int.from_bytes(digest.digest()[:8], "little"), content, len(raw))
                 value = NO_ID if own_id is None else own_id
                 if own == len(count):
                     count.append(0)
@@ -110,7 +112,7 @@ def local_groups(docs: DataFrame, text: str, key: str, task_bytes: int) -> DataF
                 count[own] += 1
                 top[own] = max(top[own], value)
                 members.append((own, own_id))
-            if table.bytes > task_bytes:
+            if table.bytes > task_bytes or len(members) > TASK_ROWS:
                 yield from rows()
                 base += len(count)
                 table, members, count, top, sha = ContentTable(), [], [], [], []
@@ -175,7 +177,7 @@ def global_groups(heads: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
                     if own_rows:
                         yield from rows()
                     bucket, table, top, count, own_rows = b, ContentTable(), [], [], []
-                own = table.number(h & ((1 << 64) - 1), content)
+                own = table.number(h & ((1 << 64) - 1), content, 0)
                 if own == len(top):
                     top.append(own_top)
                     count.append(0)
