@@ -234,7 +234,9 @@ def train(spark: SparkSession, counted: DataFrame) -> tuple[Mixer, Broadcast]:
     counted = counted.select("key", "n")
     table = spark.sparkContext.broadcast(slot_counts(counted))
 
-    def passed(weights: np.ndarray, rate: float) -> list:
+    def passed(weights: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+        """What all tasks learned, added up by cell: as many rows reach the driver as the model has cells, whatever the tasks."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, seen = Mixer(table.value), 0.0
             own.weights = weights.copy()
@@ -249,20 +251,24 @@ def train(spark: SparkSession, counted: DataFrame) -> tuple[Mixer, Broadcast]:
                         own.observe(window[part], n[part])
                 seen += n.sum()
             if seen:
-                parts = {"weights": own.weights} if rate else {"map_sum": own.map_sum, "map_n": own.map_n}
-                yield pa.RecordBatch.from_arrays([pa.array([seen] * len(parts)), pa.array([*parts]), pa.array([v.astype("<f8").tobytes() for v in parts.values()])], ["seen", "part", "data"])
-
-        # in random order: tables come with frequent windows first
-        return sorted(counted.sortWithinPartitions(F.xxhash64("key")).mapInArrow(run, "seen double, part string, data binary").collect())
+                parts = {"weights": own.weights * seen, "seen": np.array([seen])} if rate else {"map_sum": own.map_sum, "map_n": own.map_n}
+                for name, value in parts.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * value.size), pa.array(np.arange(value.size, dtype=np.int32)), pa.array(value.ravel().astype(np.float64))], ["part", "cell", "value"])
+
+        # in random order: tables come with frequent windows first; decimal sums don't depend on the order of tasks
+        cells = counted.sortWithinPartitions(F.xxhash64("key")).mapInArrow(run, "part string, cell int, value double")
+        total: dict[str, np.ndarray] = {}
+        for r in cells.groupBy("part", "cell").agg(F.sum(F.col("value").cast("decimal(38,8)")).alias("value")).collect():
+            shape = (1,) if r["part"] == "seen" else getattr(model, r["part"]).shape
+            total.setdefault(r["part"], np.zeros(shape)).flat[r["cell"]] = float(r["value"])
+        return total
 
     model = Mixer(table.value)
-    read = lambda r: np.frombuffer(r["data"], "<f8").reshape(getattr(model, r["part"]).shape)
     for rate in RATES:
-        if rows := passed(model.weights, rate):
-            total = sum(r["seen"] for r in rows)
-            model.weights = sum(read(r) * (r["seen"] / total) for r in rows)
-    for r in passed(model.weights, 0.0):
-        setattr(model, r["part"], getattr(model, r["part"]) + read(r))
+        if learned := passed(model.weights, rate):
+            model.weights = learned["weights"] / learned["seen"][0]
+    for name, value in passed(model.weights, 0.0).items():
+        setattr(model, name, value)
     model.settle()
     model.table = None  # it goes by its own broadcast
     return model, table
