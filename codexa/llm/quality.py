@@ -166,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             yield pa.RecordBatch.from_arrays([part["id"], part["label"], pa.array([c[0] for c in cut]), pa.array([c[1] for c in cut])], ["id", "label", "idx", "val"])
 
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    got = own.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(run, "id long, label double, idx binary, val binary").collect()
+    got = own.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(run, "id long, label double, idx binary, val binary")
+    # an id that several documents have brings as many rows: the bound holds for them all
+    got = got.orderBy("id", "idx").limit(sample).collect()
     got.sort(key=lambda r: (r["id"], r["idx"]))
     machine, marks = Machine(), np.array([r["label"] for r in got])
     if not len(marks) or marks.min() == marks.max():
