@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Attribute that names the folder of a kept table.
 PATH = "_kept_path"
+#: Spark's setting to remove the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +31,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     It cuts lineage, lets several readers use one computation, and survives the loss of any
     executor. The folder is unique; ``drop`` removes it, or a cluster's retention rule for its
-    checkpoint folder does.
+    checkpoint folder does. The shuffle files of the write go as soon as it is done, as nothing reads
+    them again; else those of several steps lie side by side until the driver's JVM collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codexa-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     kept = spark.read.schema(df.schema).parquet(path)
     setattr(kept, PATH, path)
     return kept
@@ -43,7 +51,7 @@ def drop(*tables: DataFrame) -> None:
     """Remove kept tables after their last reader has been written itself.
 
     What was computed from them is in kept tables by then, so a lost executor never needs them again.
-    Shuffle files of finished steps go with them: Spark removes those when the driver's JVM collects the plans.
+    Shuffle files of other finished queries go with them: Spark removes those when the driver's JVM collects the plans.
     """
     for table in tables:
         jvm, spark = table.sparkSession._jvm, table.sparkSession

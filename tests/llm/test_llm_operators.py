@@ -332,6 +332,25 @@ def test_line_dedup_on_odd_rows(spark, odd, none):
     assert line_dedup.line_dedup(none).count() == line_dedup.cleaned(none).count() == 0
 
 
+def test_kept_steps_leave_no_shuffle_files(spark):
+    """Shuffle files of a finished step go without a collection of the driver's garbage, and the session's setting stays."""
+    import time
+
+    from codexa.llm.store import drop, keep
+    from codexa.sources.store import CLEANUP
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n.rsplit("/", 1)[-1] for n in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    table = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    until = time.time() + 10
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(CLEANUP) == setting and sorted(r["count"] for r in table.collect()) == [142] + [143] * 6
+    drop(table)
+
+
 # -- 4 -----------------------------------------------------------------------------------------
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x", "https://example.net", "https://example.net/de/", "x://org/fr/1", "ftp://a.b.org/fr/?q", "http://a.org/en/", "http://notexample.com/de/", "http://example.com/de/1#x", "http://net/", "http://evilnet/", "https://x.net?y/", "a://b://c/d", "http://a.net/#/en/"]
