@@ -37,8 +37,9 @@ def char_counts(docs: DataFrame, chars: str, text: str = "text", key: str = "doc
 
 def samples(docs: DataFrame, most: int = 5, around: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The first places of damage with the characters around them."""
-    parts = F.slice(F.split(text, f"(?=[{X.MOJIBAKE}])"), 1, most + 1)
-    starts = F.aggregate(F.slice(F.transform(parts, lambda p: F.length(p)), 1, most), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    # the space keeps a match at the start of the text, which a split would pass over
+    parts = F.split(F.concat(F.lit(" "), F.col(text)), f"(?=[{X.MOJIBAKE}])", most + 1)
+    starts = F.aggregate(F.slice(F.transform(parts, lambda p: F.length(p)), 1, most), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + n)))
     hits = docs.filter(F.col(text).rlike(f"[{X.MOJIBAKE}]")).select(key, F.col(text).alias("t"), F.posexplode(F.filter(starts, lambda at: F.substring(F.col(text), at + 1, 1).rlike(f"[{X.MOJIBAKE}]"))).alias("sample", "at"))
     low = F.greatest(F.lit(0), F.col("at") - around)
     return hits.select(key, F.col("sample").cast("long"), F.concat(F.substring("t", low + 1, F.col("at") - low), F.lit("['"), F.substring("t", F.col("at") + 1, 1), F.lit("']"), F.substring("t", F.col("at") + 2, F.lit(around))).alias("context")).filter("sample < 5")

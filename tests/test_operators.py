@@ -257,3 +257,11 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["verify-alignment", str(tmp_path / "out")]) == 0
     assert main(["alignment-doctor", "--memory", "16", "--vectors"]) == 0 and '"profile":"thorough"' in capsys.readouterr().out
     assert main(["detect", str(tmp_path / "none.txt")]) == 2
+
+
+def test_samples_take_damage_at_the_start(spark):
+    docs = spark.createDataFrame([(1, "ßab¬"), (2, "ß"), (3, "ßßßßßßß"), (4, "ab"), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.sample): r.context for r in pages.samples(docs).collect()}
+    assert [got[1, 0], got[1, 1], got[2, 0]] == ["['ß']ab¬", "ßab['¬']", "['ß']"]
+    assert [got.get((3, k)) for k in range(6)] == ["ß" * k + "['ß']" + "ß" * (6 - k) for k in range(5)] + [None]
+    assert len(got) == 8
