@@ -149,7 +149,7 @@ def with_backend(pages: DataFrame) -> DataFrame:
 
 
 def route(o: dict[str, Column], visual: bool = False, roles: bool = False, fidelity: bool = False) -> Column:
-    """``struct(action, reasons, confidence)`` by the first rule that holds."""
+    """``struct(action, reasons, confidence)`` by the first rule that holds; ``mojibake_percent`` is for rates known more exactly as a quotient."""
     say = lambda *parts: F.array(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
     rule = lambda action, reasons, sure: F.struct(F.lit(action).alias("action"), reasons.alias("reasons"), F.lit(sure).alias("confidence"))
     words = o["word_count"].cast("string")
@@ -166,9 +166,11 @@ def route(o: dict[str, Column], visual: bool = False, roles: bool = False, fidel
         out = out.when(o["table"], rule("enrich_vision", say("table detected and visual descriptions requested"), 0.90))
         out = out.when(o["images"] > 0, rule("enrich_vision", say(o["images"].cast("string"), " image(s) detected and visual descriptions requested"), 0.85))
     thin = (o["text_coverage"] < 0.05) & (o["image_ratio"] > 0.5) & (o["word_count"] < 30)
-    measures = F.format_string("low text coverage (%.1f%%) + high image area (%.0f%%) + low word_count (%d)", o["text_coverage"] * 100, o["image_ratio"] * 100, o["word_count"])
+    # format_number rounds the exact value, halves to even, as SQL and Python do; Java's format strings round halves up
+    measures = F.format_string("low text coverage (%s%%) + high image area (%s%%) + low word_count (%d)", F.format_number(o["text_coverage"] * 100, 1), F.format_number(o["image_ratio"] * 100, 0), o["word_count"])
     out = out.when(thin, rule("enrich_vision", F.array(measures), 0.80))
-    damage = F.format_string("extraction corruption detected (mojibake_count=%d, mojibake_rate=%.2f%%)", o["mojibake_count"], o["mojibake_rate"] * 100)
+    percent = o.get("mojibake_percent", o["mojibake_rate"] * 100)
+    damage = F.format_string("extraction corruption detected (mojibake_count=%d, mojibake_rate=%s%%)", o["mojibake_count"], F.format_number(percent, 2))
     out = out.when((o["mojibake_count"] >= 3) | (o["mojibake_rate"] > 0.005), rule("enrich_text", F.array(damage), 0.80))
     if roles:
         out = out.when(~o["qcf"], rule("enrich_text", say("semantic roles requested and page is not QCF-structured"), 0.70))

@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,15 @@ def test_samples_take_damage_at_the_start(spark):
     assert [got[1, 0], got[1, 1], got[2, 0]] == ["['ß']ab¬", "ßab['¬']", "['ß']"]
     assert [got.get((3, k)) for k in range(6)] == ["ß" * k + "['ß']" + "ß" * (6 - k) for k in range(5)] + [None]
     assert len(got) == 8
+
+
+def test_route_rounds_percent_as_sql(spark, tmp_path):
+    from codexa.plans.queries import ORACLES, QUERIES
+
+    sizes = [(n, c) for n in (1, 2, 3, 5, 7, 9) for c in (11, 40, 80, 160, 320, 400, 480, 533, 800, 960, 1000, 1120, 1440)]
+    texts = [(k, "ß" * n + "a" * (c - n)) for k, (n, c) in enumerate(sizes)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.execute(f"SELECT doc_id, reasons FROM ({ORACLES['route_documents']})").fetchall())
+    assert {r.doc_id: r.reasons for r in QUERIES["route_documents"](spark, str(tmp_path)).collect()} == want
