@@ -1,6 +1,7 @@
 """Operators with literal inputs, sources and bundles."""
 
 import json
+import time
 
 import duckdb
 import numpy as np
@@ -278,3 +279,13 @@ def test_route_rounds_percent_as_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = dict(con.execute(f"SELECT doc_id, reasons FROM ({ORACLES['route_documents']})").fetchall())
     assert {r.doc_id: r.reasons for r in QUERIES["route_documents"](spark, str(tmp_path)).collect()} == want
+
+
+def test_measures_of_long_words_take_no_square_of_their_length(spark):
+    """A word of 300,000 characters without Arabic took its square in steps."""
+    texts = ["-" * 300_000, "a-" * 150_000 + "b", " a　bc\n" + "é" * 300_000 + "م  ", " \n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    got = [tuple(r)[1:] for r in pages.text_measures(docs).orderBy("doc_id").collect()]
+    assert time.monotonic() - began < 30
+    assert got == [(1, 0, 0, 0, 0, 300_000), (1, 0, 0, 0, 0, 300_001), (4, 1, 1, 1, 0, 300_006), *[(0,) * 6] * 3]
