@@ -75,6 +75,11 @@ def count(c: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
 
 
+def characters(c: Column, chars: str) -> Column:
+    """Characters of a text that are in a character class; whole runs are taken at a time, and no list of matches is made."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{chars}+", ""))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -147,10 +152,10 @@ def has_mojibake(c: Column) -> Column:
     n = F.length(c)
     flood = F.lit(False)
     for ch in ("\ufffd", "□", "■", "\0"):
-        flood = flood | (count(c, f"\\x{{{ord(ch):x}}}") > n * 0.05)
-    valid = (count(c, r"[\x{0600}-\x{06FF}]") + count(c, "[a-zA-Z]")) / n
-    foreign = count(c, r"[\x{00C0}-\x{017F}]") / n
-    word = count(c, r"(?U)[\w\s]") / n
+        flood = flood | (n - F.length(F.replace(c, F.lit(ch), F.lit(""))) > n * 0.05)
+    valid = (characters(c, r"[\x{0600}-\x{06FF}]") + characters(c, "[a-zA-Z]")) / n
+    foreign = characters(c, r"[\x{00C0}-\x{017F}]") / n
+    word = characters(c, r"(?U)[\w\s]") / n
     return F.coalesce(F.when(n < 10, False).when(flood, True).when((valid < 0.2) & (foreign > 0.1), True).otherwise(word < 0.3), F.lit(False))
 
 
@@ -159,12 +164,14 @@ def has_double_honorifics(c: Column) -> Column:
     out = F.lit(False)
     for s in DOUBLED:
         at = F.instr(c, s)
-        out = out | c.contains(f"{s} {s}") | c.contains(s + s)
+        near = c.contains(f"{s} {s}") | c.contains(s + s)
         for a in ABBREVIATIONS:
-            out = out | ((F.instr(c, a) > 0) & (at > 0) & (F.abs(at - F.instr(c, a)) < 30))
+            near = near | ((F.instr(c, a) > 0) & (F.abs(at - F.instr(c, a)) < 30))
         for e in EXPANSIONS:
-            out = out | ((at > 0) & c.contains(e))
-    return out
+            near = near | c.contains(e)
+        # a text without the symbol is not searched for its neighbours
+        out = out | F.when(c.contains(s), near).otherwise(F.lit(False))
+    return F.when(c.isNotNull(), out)
 
 
 def language(c: Column) -> Column:

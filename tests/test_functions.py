@@ -200,3 +200,11 @@ def test_html_reference_cut_off_is_text(spark):
     rest = "p{margin:0} x & y 'z' <b> &notit; &lt;"
     for end in ("&", "&a", "&am", "&amp", "&l", "&lt", "&quot", "&#3", "&#39"):
         assert one(spark, lambda c: markup.html_to_text(c, closed=True), cut(end)) == f"a {end}{rest}"
+
+
+def test_characters_are_counted_without_lists(spark):
+    text = "ab é\U0001d400\U0001d401 مx��" * 3
+    assert one(spark, lambda c: X.characters(c, r"[\x{10000}-\x{10ffff}a-b]"), text) == 12
+    plan = spark.createDataFrame([("a",)], "c string").select(X.has_mojibake(F.col("c")))._jdf.queryExecution().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+    assert [one(spark, X.has_double_honorifics, t) for t in ("ﷺ x ﷺﷺ", "ﷺ (saw)", "ﷺ" + "x" * 40 + "(saw)", "(saw)", None)] == [True, True, False, False, None]
