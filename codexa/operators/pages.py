@@ -96,8 +96,10 @@ def token_summary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     c = F.coalesce(F.col(text), F.lit(""))
     filled = F.transform(F.split(c, LINE_ENDS), lambda line, at: F.when(line.rlike(X.NOT_WS), at))
     blocks = F.filter(filled, lambda at: at.isNotNull())
-    row = docs.select(key, X.count(c, f"{X.NOT_WS}+").cast("long").alias("n_words"), F.length(F.regexp_replace(c, X.WS + "+", "")).cast("long").alias("n_chars"), blocks.alias("b"))
-    return row.filter("n_words > 0").select(key, "n_words", F.size("b").cast("long").alias("n_lines"), "n_chars", (F.lit(1_000_000) + F.element_at("b", -1)).cast("long").alias("last_block"))
+    # texts without words are told by their first visible character; white space is sought once in the others
+    row = docs.filter(c.rlike(X.NOT_WS)).select(key, X.collapse(c).alias("w"), blocks.alias("b"))
+    n_words, n_chars = word_counts(F.col("w"))
+    return row.select(key, n_words.alias("n_words"), F.size("b").cast("long").alias("n_lines"), n_chars.alias("n_chars"), (F.lit(1_000_000) + F.element_at("b", -1)).cast("long").alias("last_block"))
 
 
 def document_mojibake(words: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

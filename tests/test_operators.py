@@ -289,3 +289,11 @@ def test_measures_of_long_words_take_no_square_of_their_length(spark):
     got = [tuple(r)[1:] for r in pages.text_measures(docs).orderBy("doc_id").collect()]
     assert time.monotonic() - began < 30
     assert got == [(1, 0, 0, 0, 0, 300_000), (1, 0, 0, 0, 0, 300_001), (4, 1, 1, 1, 0, 300_006), *[(0,) * 6] * 3]
+
+
+def test_token_summary_makes_no_list_of_words(spark):
+    docs = spark.createDataFrame([(1, "a b\n\n c　\r\nd\n \n"), (2, " \n"), (3, None), (4, "x")], "doc_id long, text string")
+    out = pages.token_summary(docs)
+    plan = out._jdf.queryExecution().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, 4, 3, 4, 1_000_003), (4, 1, 1, 1, 1_000_000)]
