@@ -208,3 +208,14 @@ def test_characters_are_counted_without_lists(spark):
     plan = spark.createDataFrame([("a",)], "c string").select(X.has_mojibake(F.col("c")))._jdf.queryExecution().toString()
     assert "regexp_count" not in plan and "regexp_extract_all" not in plan
     assert [one(spark, X.has_double_honorifics, t) for t in ("ﷺ x ﷺﷺ", "ﷺ (saw)", "ﷺ" + "x" * 40 + "(saw)", "(saw)", None)] == [True, True, False, False, None]
+
+
+def test_english_sentences_without_python(spark):
+    from codexa.functions.alignment import english_sentences
+
+    bits = ["Mr.", "St. X", "e.g.", "E.G.", "i.E. A", "x.", "A!", '?"', "”", " ", "\n", "a", "B", "...", "‘C", '"', "no. D", "Ⅳ", "é.É", "(vol.", "1.2", "　", "xMr. Z"]
+    rng = np.random.default_rng(3)
+    texts = ["", "  ", "no end", "... Mr. Smith came. He left!"] + ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", markup.sentences(F.col("t"), "en").alias("s"))
+    assert "PythonUDF" not in df._jdf.queryExecution().toString() and "ArrowEval" not in df._jdf.queryExecution().toString()
+    assert [(r.t, r.s) for r in df.orderBy("i").collect()] == [(t, [s for s in english_sentences(t)]) for t in texts]
