@@ -297,3 +297,11 @@ def test_token_summary_makes_no_list_of_words(spark):
     plan = out._jdf.queryExecution().toString()
     assert "regexp_count" not in plan and "regexp_extract_all" not in plan
     assert sorted(map(tuple, out.collect())) == [(1, 4, 3, 4, 1_000_003), (4, 1, 1, 1, 1_000_000)]
+
+
+def test_document_mojibake_moves_no_text(spark):
+    rows = [(1, 0, 0, "aß"), (1, 0, 1, "�"), (1, 1, 0, "bc"), (2, 0, 0, None), (3, 0, 0, "x"), (3, 0, 1, None)]
+    words = spark.createDataFrame(rows, "doc_id long, block_no int, word_no int, text string")
+    out = pages.document_mojibake(words, ["doc_id"], ["block_no", "word_no"])
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, True, 2, 2 / 7, 7), (2, False, 0, 0.0, 0), (3, False, 0, 0.0, 1)]
