@@ -136,7 +136,9 @@ def from_markdown(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     lines = lines.withColumn("line", F.when(F.col("kind") == "heading", F.regexp_replace(line, f"^#+{X.WS}*", "")).when(F.col("kind") == "quote", F.regexp_replace(line, f"^>{X.WS}*", "")).otherwise(line))
     # a paragraph is stripped as a whole: its marks may span lines
     whole = lines.groupBy(key, "grp").agg(F.first("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("raw"))
-    out = whole.withColumn("text", F.when(F.col("raw").rlike(r"[`*_~\[]"), markup.strip_markdown(F.col("raw"))).otherwise(X.collapse(F.col("raw"))))
+    # Python gets only texts with code or links, null for all others; without those, emphasis marks simply go
+    marked = F.col("raw").rlike(r"[`\[]")
+    out = whole.withColumn("text", F.when(marked, markup.strip_markdown(F.when(marked, F.col("raw")))).otherwise(X.collapse(F.regexp_replace("raw", "[*_~]+", ""))))
     kind = F.when(F.col("kind") == "heading", "heading").when((F.col("kind") == "quote") & X.is_arabic(F.col("text")), "verse").otherwise("paragraph")
     seq = F.row_number().over(Window.partitionBy(key).orderBy("grp"))
     return out.filter("text <> ''").withColumn("type", kind).withColumn("block_seq", seq).select(key, "block_seq", "type", "text")

@@ -305,3 +305,15 @@ def test_document_mojibake_moves_no_text(spark):
     out = pages.document_mojibake(words, ["doc_id"], ["block_no", "word_no"])
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert sorted(map(tuple, out.collect())) == [(1, True, 2, 2 / 7, 7), (2, False, 0, 0.0, 0), (3, False, 0, 0.0, 1)]
+
+
+def test_markdown_goes_to_python_only_for_code_and_links(spark, monkeypatch):
+    from codexa.functions import markup
+
+    seen = []
+    monkeypatch.setattr(layout.markup, "strip_markdown", lambda c: seen.append(c) or F.when(c.isNotNull(), F.lit("PYTHON")))
+    docs = spark.createDataFrame([(1, "a *b* _c~\n\n**d**"), (2, "x `y`"), (3, "[l](u) z"), (4, "***")], "doc_id long, text string")
+    assert [r.text for r in layout.from_markdown(docs).orderBy("doc_id", "block_seq").collect()] == ["a b c", "d", "PYTHON", "PYTHON"]
+    given = spark.createDataFrame([("a *b*",), ("`c`",)], "raw string").select(seen[0].alias("given"))
+    assert [r.given for r in given.collect()] == [None, "`c`"]
+    assert [markup.plain_markdown(t) for t in ("a *b* _c~", "**d**", "***")] == ["a b c", "d", ""]
