@@ -385,9 +385,11 @@ HEADING = r"(?iU)^(?:(?:chapter|book|part|section|volume|maqama|ode)\b|(?:[IVXLC
 
 def looks_like_heading(c: Column) -> Column:
     """Short, and either a heading word or ordinal first or mostly capitals."""
-    letters = count(c, r"\p{L}")
-    caps = count(c, r"\p{IsUppercase}")
-    return n_words(c).between(1, 16) & (F.length(c) <= 140) & (c.rlike(HEADING) | ((letters > 0) & (caps / letters >= 0.78)))
+    letters = characters(c, r"\p{L}")
+    caps = characters(c, r"\p{IsUppercase}")
+    heads = n_words(c).between(1, 16) & (c.rlike(HEADING) | ((letters > 0) & (caps / letters >= 0.78)))
+    # nothing is sought in longer texts
+    return F.when(F.length(c) <= 140, heads).when(F.length(c) > 140, False)
 
 
 # -- bidirectional display -----------------------------------------------------------------------

@@ -219,3 +219,9 @@ def test_english_sentences_without_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", markup.sentences(F.col("t"), "en").alias("s"))
     assert "PythonUDF" not in df._jdf.queryExecution().toString() and "ArrowEval" not in df._jdf.queryExecution().toString()
     assert [(r.t, r.s) for r in df.orderBy("i").collect()] == [(t, [s for s in english_sentences(t)]) for t in texts]
+
+
+def test_headings_are_counted_by_runs(spark):
+    plan = spark.createDataFrame([("a",)], "c string").select(X.looks_like_heading(F.col("c")))._jdf.queryExecution().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+    assert [one(spark, X.looks_like_heading, t) for t in ("CHAPTER", "ÉA Bc", "ABCDEFGH i", "A" * 141, "1.", "", "chapter one")] == [True, False, True, False, True, False, True]
